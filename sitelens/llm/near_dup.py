@@ -10,22 +10,18 @@ similarity 0.8 becomes a candidate with probability 0.9996.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import materialise
 from .graph import components
 from .words import U64, mix, shingle_sets
 
 KEYS, ROWS = 12, 3
-#: Further pivots of a bucket that still joins several components, by round: 8 times as many each.
-MORE_PIVOTS = 8
 
 _FEATURES = "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"
 
@@ -75,6 +71,40 @@ def _sets(size: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            sizes = [len(x) for x in sets]
+            ids, parts = (np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(parts), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["id", "component", "n", "e"])
+
+
+def _across(sets: DataFrame, share: int, whole: int) -> DataFrame:
+    """(p, id): all pairs of ``sets`` (id, component, shingles) that could be links across components.
+
+    An exact prefix filter. Only shingles found in several components can be shared across them; with
+    m of these in a set of n, a link needs m >= share * n / whole. If so, the two sets of a link
+    have one of their rarest m - share * n / whole + 1 such shingles in common.
+    """
+    needed = F.ceil(F.col("n") * share / whole)
+    every = materialise(sets.select("id", "component", "shingles").mapInArrow(_elements, "id long, component long, n long, e long"), "elements")
+    spread = every.groupBy("e").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("e", "f")
+    own = every.join(spread, "e").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es"))
+    own = own.withColumn("m", F.size("es")).where(F.col("m") >= needed)
+    prefix = own.select("id", "component", "n", "m", F.explode(F.slice("es", 1, (F.col("m") - needed + 1).cast("int"))).alias("x")).select("id", "component", "n", "m", "x.e")
+    prefix = materialise(prefix, "prefix")
+    # by shingle: the most common component, and whether any partner could be near enough
+    of = prefix.groupBy("e", "component").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("m").alias("m"))
+    of = of.groupBy("e").agg(F.max(F.struct("c", "component")).alias("top"), F.min("n").alias("least"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    near = (whole + share) * F.least("m", "most") >= share * (F.col("n") + F.greatest("least", needed))
+    open_ = materialise(prefix.join(of.select("e", F.col("top.component").alias("usual"), "least", "most"), "e").where(near), "open")
+    strange = open_.where("component <> usual").select("e", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("m").alias("pm"))
+    could = (F.col("component") != F.col("pc")) & ((whole + share) * F.least("m", "pm") >= share * (F.col("n") + F.col("pn")))
+    return strange.join(open_, "e").where(could).select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id")).distinct()
+
+
 def _confirm(share: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,8 +129,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table: no rows.
 
     Equal sets are first reduced to one representative, so large groups of copies cost one row in
-    all that follows. A bucket's members are compared with its smallest member; only buckets that
-    still join several components afterwards get further pivots, until none is left untested.
+    all that follows. A bucket's members are compared with one of them, the one that shares most
+    keys with others, so a group of near copies costs one comparison a member. What buckets still
+    join although it is not linked yet goes through an exact filter, which leaves no link out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = materialise(docs.mapInArrow(_features(size, keys, rows), _FEATURES), "features")
@@ -109,17 +140,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # a table can only be shared by two if both its keys are
     single = reps.select("id", "n", F.posexplode(F.concat("a", "b")).alias("place", "key"))
-    shared = single.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    hits = single.join(shared, "key").groupBy("id", "n").agg(*(F.collect_list(F.when(on, F.col("key"))).alias(c) for c, on in (("a", F.col("place") < keys), ("b", F.col("place") >= keys))))
-    tables = hits.select("id", "n", "b", F.explode("a").alias("x")).select("id", "n", "x", F.explode("b").alias("y"))
-    members = materialise(tables.select(F.xxhash64("x", "y").alias("bucket"), "id", "n"), "members")
-
-    def plausible(frame: DataFrame) -> DataFrame:
-        return frame.where(whole * F.least("n", "pn") >= share * F.greatest("n", "pn")).select("p", "id").distinct()
-
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    pairs = materialise(plausible(members.join(pivots.select("bucket", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "bucket").where("id <> p")), "pairs")
-    wanted = materialise(members.join(pivots.select("bucket"), "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    shared = single.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    hits = single.join(shared, "key").groupBy("id", "n").agg(F.sum("c").alias("shares"), *(F.collect_list(F.when(on, F.col("key"))).alias(c) for c, on in (("a", F.col("place") < keys), ("b", F.col("place") >= keys))))
+    tables = hits.select("id", "n", "shares", "b", F.explode("a").alias("x")).select("id", "n", "shares", "x", F.explode("b").alias("y"))
+    members = materialise(tables.select(F.xxhash64("x", "y").alias("bucket"), "id", "n", "shares"), "tables")
+
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("shares", (-F.col("id")).alias("i"), "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    members = materialise(members.join(pivots.select("bucket", (-F.col("p.i")).alias("p"), F.col("p.n").alias("pn")), "bucket").select("bucket", "id", "n", "p", "pn"), "members")
+    near = whole * F.least("n", "pn") >= share * F.greatest("n", "pn")
+    pairs = materialise(members.where((F.col("id") != F.col("p")) & near).select("p", "id").distinct(), "pairs")
+    wanted = materialise(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary")
     sets = materialise(sets, "sets")
 
@@ -127,25 +157,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("others")), "p")
         return both.select("p", "id", "shingles", "others").mapInArrow(_confirm(share, whole), "p long, id long").select(F.col("p").alias("u"), F.col("id").alias("v"))
 
-    links = [materialise(confirmed(pairs), "links")]
-    labels = components(links[0])
-    open_ = members
-    done, most = 1, 1
-    while True:
-        tagged = open_.select("bucket", "id", "n", *(["rank"] if most > 1 else [])).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where(f"lo <> hi and c > {done}").select("bucket")
-        open_ = tagged.join(split, "bucket", "left_semi")
-        if most == 1:
-            open_ = open_.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        open_ = materialise(open_, "open")
-        if open_.isEmpty():
-            break
-        most = done + MORE_PIVOTS ** (len(links))
-        pivot = open_.where(f"rank > {done} and rank <= {most}").select("bucket", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("rank").alias("pr"))
-        pairs = materialise(plausible(open_.join(pivot, "bucket").where("rank > pr and component <> pc")), "pairs")
-        links.append(materialise(confirmed(pairs), "links"))
-        labels = components(reduce(DataFrame.unionByName, links))
-        done = most
+    labels = components(materialise(confirmed(pairs), "links"))
+    tagged = members.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = materialise(tagged.join(split, "bucket", "left_semi").select("id", "component").distinct(), "left")
+    if not left.isEmpty():
+        pairs = materialise(_across(sets.join(left, "id"), share, whole), "pairs")
+        labels = components(materialise(confirmed(pairs), "links"), labels)
     of_rep = reps.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "digest").join(of_rep, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
