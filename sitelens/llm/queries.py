@@ -2,15 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, html_text, lang_id, line_dedup, lm_score, mix, near_dup, shard, token_count, top_k
 from .common import table
-from .near_dup import near_duplicates
+
+
+def levels() -> dict[str, Column]:
+    """A tree of domain, language and source; the domain is read from the source's number."""
+    domain = F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 3, F.lit(0)).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    at = shard.shard(docs, shards=16).select("doc_id", "placed.size", "text_crc32", F.lit("bytes").alias("law"), "placed.shard", "placed.slot")
+    return at.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", lang_id.held_out())
+    profiles = lang_id.fit(docs.where(~F.col("held_out")))
+    out = lang_id.identify(docs, profiles)
+    return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mix.mix(docs, levels(), WEIGHTS, share=0.8, epochs=3)
+    return out.select("doc_id", "lang", "source", "mixed.epoch", "mixed.n_tokens")
+
+
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+    h = F.col("hits")
+    items = F.size(h["items"]).cast("long").alias("n_items")
+    sha = F.sha2(F.array_join(h["items"], ","), 256).alias("items_sha256")
+    return found.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), items, sha, h["contaminated"].alias("contaminated"))
 
 
-QUERIES = {"op3_minhash_near_dup": op3_minhash_near_dup}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op9_exact_top_k, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
