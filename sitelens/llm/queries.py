@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lang_id, line_dedup, lm_score, mix, near_dup, shard, token_count, top_k
+from . import decontaminate, html_text, lang_id, line_dedup, lm_score, mix, near_dup, shard, sql, token_count, top_k
 from .common import table
 
 
@@ -72,4 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op9_exact_top_k, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
+#: Not in SQL: units of sentences (1), tokens (2), main text (5) and language profiles (6); tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dup": sql.near_dup(),
+    "op4_histogram_shards": sql.shards(),
+    "op7_source_mix": sql.mix(),
+    "op8_stupid_backoff": sql.BACKOFF,
+    "op9_exact_top_k": sql.TOP_K,
+    "op10_decontaminate": sql.decontaminate(),
+}
