@@ -12,37 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
-PIVOTS, QUERY_BLOCK, VECTOR_BLOCK = 24, 256, 8192
+PIVOTS, QUERY_BLOCK, VECTOR_BLOCK = 24, 1024, 8192
 #: First batch of candidates that a query evaluates; each further one is twice as large.
 FIRST = 128
 
 
-def _blocks(rows: int):
-    """Rows (id, vector) to blocks (ids, vectors) as bytes; rows of one length each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            firsts = np.concatenate([[0], np.cumsum(lengths)])
-            for size in np.unique(lengths):
-                own = np.flatnonzero(lengths == size)
-                for at in range(0, len(own), rows):
-                    part = own[at : at + rows]
-                    table = np.stack([flat[firsts[i] : firsts[i + 1]] for i in part]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(size)], pa.int32()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], ["size", "ids", "vectors"])
-
-    return run
-
-
 def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, candidates, scores) with the k best of each query, its own row left out."""
     c, q, pivots = c.astype(np.float64), q.astype(np.float64), pivots.astype(np.float64)
@@ -80,39 +60,39 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     only vectors of one length are compared. Rows that repeat an id are further candidates of that
     id, but no query's own. Empty table: no rows. Other columns are not read.
 
-    The queries are a stated set: blocks of queries meet blocks of candidates, each pair of blocks
-    yields at most k rows a query, and these are merged. Pivots are the vectors with the smallest
-    hashes of their ids, a bounded number.
+    Of rows that repeat a query's id, the one with the least vector speaks.
+
+    The queries are a stated set: each block of them meets each block of candidates in a task of its
+    own, which yields at most k rows a query, and these are merged. Both kinds of block have a
+    bounded size. Pivots are the vectors with the smallest hashes of their ids, a bounded number.
     """
     x = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
-    # nothing is compared with a null vector, so exists() is null or false for whatever is left out
-    sound = ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & (F.size(x) > 0) & F.coalesce(sound, F.lit(False)))
-    rows = rows.withColumn("vector", F.transform(x, lambda v: F.floor(v.cast("double") * scale)))
-    rows = materialise(rows, "vectors")
+    # exists() is null where a component is, and such rows are left out too
+    unsound = F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+    rows = rows.where(F.col("id").isNotNull() & (F.size(x) > 0) & F.coalesce(~unsound, F.lit(False)))
+    rows = rows.withColumn("vector", F.transform(x, lambda v: F.floor(v.cast("double") * scale))).withColumn("size", F.size("vector"))
+    rows = materialise(rows.withColumn("place", F.monotonically_increasing_id()), "vectors")
     table = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
     by_size: dict[int, list] = {}
     for r in table:
         by_size.setdefault(len(r.vector), []).append(r.vector)
-    kind = "size int, ids binary, vectors binary"
-    count = lambda frame, block: frame.repartition(max(1, -(-frame.count() // block)))
-    queries = rows.where("is_query").select("id", "vector")
-    theirs = count(queries, QUERY_BLOCK).mapInArrow(_blocks(QUERY_BLOCK), kind).withColumn("q", F.monotonically_increasing_id())
-    theirs = materialise(theirs.select("q", "size", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
-    blocks = count(rows.select("id", "vector"), VECTOR_BLOCK).mapInArrow(_blocks(VECTOR_BLOCK), kind)
-    blocks = materialise(blocks, "blocks").repartition("size", F.xxhash64("ids"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for r in frame.itertuples():
-                two = lambda b: np.frombuffer(b, np.int64).reshape(-1, r.size)
-                own = np.array(by_size.get(r.size, np.zeros((0, r.size))), np.int64).reshape(-1, r.size)
-                ids = lambda b: np.frombuffer(b, np.int64)
-                found = list(_search(ids(r.q_ids), two(r.q_vectors), ids(r.ids), two(r.vectors), own, k))
-                yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}).astype("int64")
-
-    met = theirs.join(blocks, "size").repartition(F.xxhash64("q", "ids"))
-    best = met.select("size", "q_ids", "q_vectors", "ids", "vectors").mapInPandas(search, "query_id long, vec_id long, score long")
-    ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
+    n = rows.agg(F.count("*").alias("all"), F.count_if("is_query").alias("queries")).first()
+    parts, groups = max(1, -(-n["all"] // VECTOR_BLOCK)), max(1, -(-n.queries // QUERY_BLOCK))
+    keys = ["part", "group", "size"]
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    candidates = rows.select((F.col("place") % parts).cast("int").alias("part"), every(groups).alias("group"), "size", "id", "vector")
+    asked = rows.where("is_query").groupBy("id", "size").agg(F.min("vector").alias("vector"))
+    asked = asked.select(every(parts).alias("part"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "size", "id", "vector")
+
+    def search(key: tuple, own: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(own) and len(theirs):
+            pivot = np.array(by_size.get(key[2], []), np.int64).reshape(-1, key[2])
+            found = list(_search(theirs.id.to_numpy(), np.stack(theirs.vector), own.id.to_numpy(), np.stack(own.vector), pivot, k))
+        columns = {"query_id": [np.full(len(f[1]), f[0]) for f in found], "vec_id": [f[1] for f in found], "score": [f[2] for f in found]}
+        return pd.DataFrame({name: np.concatenate([np.zeros(0, np.int64), *values]) for name, values in columns.items()})
+
+    best = candidates.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
