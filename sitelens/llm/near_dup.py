@@ -93,15 +93,16 @@ def _across(sets: DataFrame, share: int, whole: int) -> DataFrame:
     spread = every.groupBy("e").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("e", "f")
     own = every.join(spread, "e").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es"))
     own = own.withColumn("m", F.size("es")).where(F.col("m") >= needed)
-    prefix = own.select("id", "component", "n", "m", F.explode(F.slice("es", 1, (F.col("m") - needed + 1).cast("int"))).alias("x")).select("id", "component", "n", "m", "x.e")
-    prefix = materialise(prefix, "prefix")
+    # rest: shingles from this one on, so at the first one in common the most that two sets can share
+    prefix = own.select("id", "component", "n", "m", F.posexplode(F.slice("es", 1, (F.col("m") - needed + 1).cast("int"))).alias("at", "x"))
+    prefix = materialise(prefix.select("id", "component", "n", (F.col("m") - F.col("at")).alias("rest"), "x.e"), "prefix")
     # by shingle: the most common component, and whether any partner could be near enough
-    of = prefix.groupBy("e", "component").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("m").alias("m"))
-    of = of.groupBy("e").agg(F.max(F.struct("c", "component")).alias("top"), F.min("n").alias("least"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    near = (whole + share) * F.least("m", "most") >= share * (F.col("n") + F.greatest("least", needed))
+    of = prefix.groupBy("e", "component").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.max("rest").alias("rest"))
+    of = of.groupBy("e").agg(F.max(F.struct("c", "component")).alias("top"), F.min("n").alias("least"), F.max("rest").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    near = (whole + share) * F.least("rest", "most") >= share * (F.col("n") + F.greatest("least", needed))
     open_ = materialise(prefix.join(of.select("e", F.col("top.component").alias("usual"), "least", "most"), "e").where(near), "open")
-    strange = open_.where("component <> usual").select("e", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("m").alias("pm"))
-    could = (F.col("component") != F.col("pc")) & ((whole + share) * F.least("m", "pm") >= share * (F.col("n") + F.col("pn")))
+    strange = open_.where("component <> usual").select("e", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), F.col("rest").alias("pr"))
+    could = (F.col("component") != F.col("pc")) & ((whole + share) * F.least("rest", "pr") >= share * (F.col("n") + F.col("pn")))
     return strange.join(open_, "e").where(could).select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id")).distinct()
 
 

@@ -63,3 +63,24 @@ def test_odd_rows(odd, none):
     assert near_dup.near_duplicates(none).collect() == []
     kept = near_dup.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 1, 2, 3, 4, 5, 6, None, 8, 10], key=str)
+
+
+def test_random_groups_around_the_threshold(spark):
+    import random
+
+    rng, texts = random.Random(11), {}
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(90)]
+        for k in range(40):
+            words = list(rng.choice([base, texts.get(f"{group}", base)]))
+            for _ in range(rng.randrange(0, 6)):
+                words[rng.randrange(90)] = rng.choice(["the", "of", f"x{rng.randrange(30)}"])
+            if rng.random() < 0.3:
+                words = words[rng.randrange(12) :]
+            texts[f"{group}"] = words
+            texts[1000 * group + k + 1] = " ".join(words)
+    texts = {i: t for i, t in texts.items() if isinstance(i, int)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(rows, size=4).collect()}
+    want = brute(texts, 4)
+    assert got == want and 20 < len({c for _, c, _ in want.values()}) < 200
