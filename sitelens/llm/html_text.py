@@ -33,12 +33,17 @@ _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until-found)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|pagination|pager|tags|"
-    r"complementary|contentinfo|navigation|skip|copyright|disclaimer)(?:$|[\s_-]|\d)",
-    re.I,
-)
+#: Words of class names, ids and roles that mark what is not the article; a part between hyphens counts as a word.
+_BOILER_WORDS = frozenset("""
+ad ads adsense banner promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay
+sidebar side aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist disqus
+replies reply respond share sharing social related recommended newsletter subscribe subscription signup login search widget widgets pagination pager tags
+complementary contentinfo skip copyright disclaimer advert adverts advertisement advertising
+""".split())
+#: Inside an article these name its own heading.
+_HEADING_WORDS = frozenset("header masthead banner".split())
+#: Words before a hyphen that say what a page has or lacks, not what the element is.
+_STATES = frozenset("has with no without not is show hide".split())
 _RAW = {"script", "style", "textarea", "title", "template", "iframe", "noembed", "noframes", "svg", "math", "select", "object", "canvas", "audio", "video", "noscript"}
 _CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in _RAW}
 _BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
@@ -60,8 +65,15 @@ class Block:
     label: bool | None = None
 
 
-def _boiler_name(attributes: str) -> bool:
-    return bool(attributes) and (bool(_HIDDEN.search(attributes)) or any(_BOILER_NAME.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(attributes)))
+def _boiler_name(attributes: str, scope: int | bool = 0) -> bool:
+    if not attributes:
+        return False
+    for names in _ATTRIBUTE.findall(attributes):
+        for name in "".join(names).lower().split():
+            words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", name)]
+            if words[0] not in _STATES and any(w in _BOILER_WORDS and not (scope and w in _HEADING_WORDS) for w in words):
+                return True
+    return bool(_HIDDEN.search(attributes))
 
 
 def blocks(page: str) -> list[Block]:
@@ -98,7 +110,7 @@ def blocks(page: str) -> list[Block]:
         elif tag in ("br", "img", "input", "wbr"):
             out[-1].parts.append("" if tag == "wbr" else " ")
         elif tag in _LEAVES:
-            leaf, leaf_boiler = ("", False) if closing else (tag, _boiler_name(attributes))
+            leaf, leaf_boiler = ("", False) if closing else (tag, _boiler_name(attributes, stack[-1][2] if stack else 0))
             start()
         elif tag in _CONTAINERS:
             leaf, leaf_boiler = "", False
@@ -110,7 +122,7 @@ def blocks(page: str) -> list[Block]:
                         break
             else:
                 boiler, scope = stack[-1][1:] if stack else (False, 0)
-                boiler = boiler or tag in _BOILER or tag == "header" and not scope or tag not in ("html", "body") and _boiler_name(attributes)
+                boiler = boiler or tag in _BOILER or tag == "header" and not scope or tag not in ("html", "body") and _boiler_name(attributes, scope or tag in _SCOPES)
                 if tag in _SCOPES and not boiler:
                     scopes += 1
                     scope = scopes
