@@ -25,29 +25,44 @@ FIRST = 128
 
 def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, candidates, scores) with the k best of each query, its own row left out."""
+    greatest = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
+    # the narrowest numbers in which every product and sum of them is exact
+    kind = np.float32 if greatest < 2**24 else np.float64 if greatest < 2**53 else np.int64
+    own, asked = c.astype(kind), q.astype(kind)
     c, q, pivots = c.astype(np.float64), q.astype(np.float64), pivots.astype(np.float64)
-    exact = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2**53
-    whole_c, whole_q = c.astype(np.int64), q.astype(np.int64)
     to = lambda x: np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)))
-    c_table, q_table = to(c).astype(np.float32), to(q).astype(np.float32)
+    c_table, q_table = np.ascontiguousarray(to(c).T.astype(np.float32)), to(q).astype(np.float32)
     c_norm, q_norm = (c * c).sum(1), (q * q).sum(1)
     for i in range(len(q)):
-        low = np.zeros(len(c), np.float32)
+        low, gap = np.zeros(len(c), np.float32), np.empty(len(c), np.float32)
         for p in range(len(pivots)):
-            np.maximum(low, np.abs(c_table[:, p] - q_table[i, p]), out=low)
-        low = np.maximum(0, low.astype(np.float64) * (1 - 1e-5) - 1e-3)
-        upper = (q_norm[i] + c_norm - low * low) / 2
-        order = np.argsort(-upper, kind="stable")
+            np.subtract(c_table[p], q_table[i, p], out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
+        # a little less than the bound, for what rounding may have added
+        low = np.maximum(0, low * np.float32(1 - 1e-5) - np.float32(1e-3))
+        upper = (q_norm[i] + c_norm - low.astype(np.float64) ** 2) / 2
+        # bounds in 16-bit steps, rounded up, sort by radix
+        top, step = upper.max(initial=0), max(float(np.ptp(upper)) / 65000, 1e-9) if len(upper) else 1.0
+        below = np.floor((top - upper) / step).astype(np.uint16)
+        order = np.argsort(below, kind="stable")
         order = order[c_ids[order] != q_ids[i]]
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, step = 0, max(FIRST, 2 * k)
-        while at < len(order) and (len(best) < k or upper[order[at]] >= best[-1] - 1e-6 * abs(float(best[-1])) - 1):
-            part = order[at : at + step]
-            scores = np.rint(c[part] @ q[i]).astype(np.int64) if exact else whole_c[part] @ whole_q[i]
-            best_ids, best = np.concatenate([best_ids, c_ids[part]]), np.concatenate([best, scores])
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
-            at, step = at + step, 2 * step
+        at, size = 0, max(FIRST, 2 * k)
+        while at < len(order):
+            if len(best) == k:
+                bound = top - float(below[order[at]]) * step
+                if bound < best[-1] - 1e-6 * abs(float(best[-1])) - 1:
+                    break
+            part = order[at : at + size]
+            scores = (own[part] @ asked[i]).astype(np.int64)
+            ids = c_ids[part]
+            if len(best) == k:
+                good = scores >= best[-1]
+                scores, ids = scores[good], ids[good]
+            best_ids, best = np.concatenate([best_ids, ids]), np.concatenate([best, scores])
+            first = np.lexsort((best_ids, -best))[:k]
+            best_ids, best = best_ids[first], best[first]
+            at, size = at + size, 2 * size
         yield int(q_ids[i]), best_ids, best
 
 
