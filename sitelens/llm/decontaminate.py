@@ -8,6 +8,7 @@ windows; a larger benchmark is dealt into blocks of that bound, each scanned in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -111,8 +112,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block
     count = 1 + total // block_bytes
     for block in range(count):
         rows = windows.where(F.pmod(F.xxhash64("win"), F.lit(count)) == block).collect()
-        key = f"{id(windows)}-{block}-{total}"
-        yield windows.sparkSession.sparkContext.broadcast({"key": key, "windows": [(bytes(r.win), r.items) for r in rows]})
+        yield windows.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": [(bytes(r.win), r.items) for r in rows]})
 
 
 def _n_hit(spans: Column) -> Column:

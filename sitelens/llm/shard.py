@@ -21,6 +21,8 @@ from .common import materialise
 #: Bytes of a piece, the unit of the final sort; more pieces a shard than MOST_PIECES are not made.
 PIECE_BYTES, MOST_PIECES = 16 << 20, 4096
 PROBES = 1 << 14
+#: Share of a shard that keeping equal texts in one shard may cost.
+TOLERANCE = 0.01
 
 #: Keys are pairs of longs, as one whole number on the driver and as 16 ordered bytes in tasks.
 _HALF, _SIGN = 1 << 64, 1 << 63
@@ -30,6 +32,10 @@ def _key(pair) -> int:
     return (pair[0] + _SIGN) * _HALF + pair[1] + _SIGN
 
 
+def _halves(key: int) -> tuple[int, int]:
+    return key // _HALF - _SIGN, key % _HALF - _SIGN
+
+
 def _ordered(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     both = np.stack([high, low], 1).astype(np.int64).view(np.uint64) ^ np.uint64(_SIGN)
     return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
@@ -57,11 +63,19 @@ def _histogram(probes: list[int]):
     return run
 
 
-def splitters(keys: DataFrame, pieces: int, tolerance: int = 0, probes: int = PROBES) -> list[int]:
+def _counted(keys: DataFrame, probes: list[int]) -> list:
+    """Exact bytes of the cells between the probes, with their least and greatest keys, in order."""
+    cells = keys.select("h", "doc_id", "size").mapInArrow(_histogram(probes), "at long, n long, bytes long, h0 long, l0 long, h1 long, l1 long")
+    cells = cells.groupBy("at").agg(F.sum("bytes").alias("bytes"), F.min(F.struct("h0", "l0")).alias("lo"), F.max(F.struct("h1", "l1")).alias("hi")).collect()
+    return sorted(cells, key=lambda r: r["at"])
+
+
+def splitters(keys: DataFrame, pieces: int, whole_every: int = 1, tolerance: int = 0, probes: int = PROBES) -> list[int]:
     """pieces - 1 keys that part the rows (h, doc_id, size) into pieces of nearly equal bytes.
 
-    A splitter is the first key past the first row with which the bytes reach the target, or any
-    probed key whose preceding bytes are off by the tolerance at most. Rows with one key are not parted.
+    A splitter stands after the row with which the bytes reach its target. Every ``whole_every``-th
+    one moves to the nearer border of the rows with that row's h, if that costs ``tolerance`` bytes
+    at most. Rows with one key are not parted.
     """
     ends = keys.agg(F.sum("size").alias("total"), F.min(F.struct("h", "doc_id")).alias("lo"), F.max(F.struct("h", "doc_id")).alias("hi")).first()
     if not ends.total:
@@ -73,22 +87,31 @@ def splitters(keys: DataFrame, pieces: int, tolerance: int = 0, probes: int = PR
     while brackets := {k: v for k, v in brackets.items() if v}:
         per = max(2, probes // len(brackets))
         asked = sorted({lo - (lo - hi) * k // per for lo, hi in brackets for k in range(1, per + 1)} | {lo for lo, _ in brackets})
-        cells = keys.select("h", "doc_id", "size").mapInArrow(_histogram(asked), "at long, n long, bytes long, h0 long, l0 long, h1 long, l1 long")
-        cells = cells.groupBy("at").agg(F.sum("bytes").alias("bytes"), F.min(F.struct("h0", "l0")).alias("lo"), F.max(F.struct("h1", "l1")).alias("hi")).collect()
-        cells = sorted(cells, key=lambda r: r["at"])
+        cells = _counted(keys, asked)
         upto = np.cumsum([r.bytes for r in cells])
         nearer: dict[tuple[int, int], list[int]] = {}
         for t in (t for own in brackets.values() for t in own):
-            i = int(np.searchsorted(upto, targets[t], "left"))
-            lo, hi = _key(cells[i].lo), _key(cells[i].hi)
-            if lo == hi or upto[i] - targets[t] <= tolerance:
+            cell = cells[int(np.searchsorted(upto, targets[t], "left"))]
+            lo, hi = _key(cell.lo), _key(cell.hi)
+            if lo == hi:
                 found[t] = hi + 1
-            elif i and targets[t] - upto[i - 1] <= tolerance:
-                found[t] = lo
             else:
                 nearer.setdefault((lo, hi), []).append(t)
         brackets = nearer
-    return [found[t] for t in range(len(targets))]
+    out = [found[t] for t in range(len(targets))]
+    movable = [t for t in range(len(targets)) if (t + 1) % whole_every == 0]
+    if tolerance and movable:
+        high = {t: _halves(out[t] - 1)[0] for t in movable}
+        borders = sorted({_key((h + k, -_SIGN)) for h in high.values() for k in (0, 1)})
+        sums = {r["at"]: r.bytes for r in _counted(keys, borders)}
+        below = np.cumsum([sums.get(i, 0) for i in range(len(borders))])  # bytes of keys below each border
+        for t in movable:
+            options = [borders.index(_key((high[t] + k, -_SIGN))) for k in (0, 1)]
+            start, end = (int(below[i]) for i in options)
+            before = targets[t] - start <= end - targets[t]
+            if (targets[t] - start if before else end - targets[t]) <= tolerance:
+                out[t] = borders[options[not before]]
+    return sorted(out)
 
 
 def _place(cuts: list[int], base: list[int]):
@@ -106,13 +129,13 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: int = 0, piece_bytes: int = PIECE_BYTES, into: str = "placed") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES, into: str = "placed") -> DataFrame:
     """``docs`` with a struct column ``into``: size, shard (from 0), slot (gapless from 0 in each shard).
 
-    size is the text's UTF-8 bytes (null: none) plus 1. Shards have nearly equal bytes: with
-    tolerance 0 each boundary is the first row at or past its target, so a shard is off by less
-    than one row at either end. Equal texts stand together and are parted only where a boundary
-    falls among them. Null ids sort first. Rows that repeat both id and text are not parted. An
+    size is the text's UTF-8 bytes (null: none) plus 1. Shards have nearly equal bytes: a boundary
+    stands after the row that reaches its target, or, where this costs ``tolerance`` of a shard at
+    most, at the nearer border of that row's group of equal texts. So equal texts stand together and
+    only a group larger than that can be parted. Null ids sort first. Rows that repeat both id and text are not parted. An
     empty table stays empty. A column of ``docs`` named as ``into`` is replaced.
     """
     text = F.col(text_col).cast("string")
@@ -121,7 +144,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     keys = materialise(docs.select(high.alias("h"), low.alias("doc_id"), text_size(text).alias("size")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per = min(MOST_PIECES, max(1, -(-total // (shards * piece_bytes))))
-    cuts = splitters(keys, shards * per, tolerance)
+    # a boundary moves by less than half a piece, so pieces keep their order
+    cuts = splitters(keys, shards * per, per, int(min(total * tolerance / shards, total / (shards * per * 2))))
     pieces = len(cuts) + 1
     held = keys.groupBy(_place(cuts, [0] * pieces)("h", "doc_id")["piece"].alias("piece")).agg(F.count("*").alias("n")).collect()
     counts = {r.piece: r.n for r in held}

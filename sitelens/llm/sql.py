@@ -26,12 +26,16 @@ def shards(documents: str = "documents") -> str:
     return f"""
 WITH c AS ({_CRC_TABLE}),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM {documents}),
-b AS (SELECT doc_id, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(concat('0x', h) AS BIGINT))) AS bytes FROM d),
+y AS (SELECT doc_id, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(concat('0x', h) AS BIGINT))) AS bytes FROM d),
 k AS (SELECT d.doc_id, CAST(strlen(text) AS BIGINT) + 1 AS size, CAST(concat('0x', substr(md5(text), 1, 15)) AS BIGINT) AS h,
       xor(list_reduce(bytes, lambda a, x: xor(a // 256, c.t[CAST(xor(a, x) % 256 AS INT) + 1])), 4294967295) AS text_crc32
-      FROM d JOIN b USING (doc_id), c),
-o AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id) - size AS before, sum(size) OVER () AS total FROM k),
-s AS (SELECT *, CAST(before * 16 // total AS INT) AS shard FROM o)
+      FROM d JOIN y USING (doc_id), c),
+o AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id) - size AS before FROM k),
+g AS (SELECT h, min(before) AS first, max(before + size) AS last FROM o GROUP BY 1),
+t AS (SELECT i, CAST(ceil(i * total / 16.0) AS BIGINT) AS target, CAST(floor(total * CAST(0.01 AS DOUBLE) / 16) AS BIGINT) AS tolerance FROM (SELECT unnest(range(1, 16)) AS i), (SELECT sum(size) AS total FROM k)),
+b AS (SELECT i, CASE WHEN least(target - first, last - target) > tolerance THEN before + size WHEN target - first <= last - target THEN first ELSE last END AS at
+      FROM t JOIN o ON before < target AND target <= before + size JOIN g USING (h)),
+s AS (SELECT o.*, CAST((SELECT count(*) FROM b WHERE b.at <= o.before) AS INT) AS shard FROM o)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
 """
 

@@ -5,15 +5,25 @@ import pytest
 from sitelens.llm import queries, shard
 
 
-def brute(rows, shards):
-    """Rows in key order; a row's shard is the one that its first byte falls in."""
+def brute(rows, shards, tolerance=0.01):
+    """Rows in key order, cut after the row that reaches each target, or at a near border of its group."""
     order = sorted((int(md5((t or "").encode()).hexdigest()[:15], 16), -(1 << 63) if i is None else i, len((t or "").encode()) + 1) for i, t in rows)
-    total, at, out, slots = sum(r[2] for r in order), 0, {}, {}
-    for h, i, size in order:
-        s = at * shards // total
+    total, at, spans, groups = sum(r[2] for r in order), 0, [], {}
+    for h, _, size in order:
+        spans.append((at, at + size))
+        groups[h] = (groups.get(h, (at, 0))[0], at + size)
+        at += size
+    cuts = []
+    for target in (-(-i * total // shards) for i in range(1, shards)):
+        k = next(k for k, (a, b) in enumerate(spans) if a < target <= b)
+        first, last = groups[order[k][0]]
+        near = first if target - first <= last - target else last
+        cuts.append(near if abs(near - target) <= int(total * tolerance / shards) else spans[k][1])
+    out, slots = {}, {}
+    for (h, i, size), (a, _) in zip(order, spans):
+        s = sum(c <= a for c in cuts)
         out[h, i] = (size, s, slots.get(s, 0))
         slots[s] = slots.get(s, 0) + 1
-        at += size
     return out
 
 
@@ -40,11 +50,15 @@ def test_hot_text_is_parted_and_slots_have_no_gaps(spark, piece_bytes):
     assert all(sorted(p.slot for p in v) == list(range(len(v))) for v in by.values())
 
 
-def test_tolerance_keeps_equal_texts_whole(spark):
-    rows = [(k, f"text {k // 7} " * 3) for k in range(700)]
-    got = shard.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, tolerance=400).collect()
+@pytest.mark.parametrize("piece_bytes", [1 << 20, 3000])
+def test_equal_texts_stay_whole_within_the_tolerance(spark, piece_bytes):
+    rows = [(k, f"text {k // 7} " * 3) for k in range(7000)]
+    got = shard.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, piece_bytes=piece_bytes).collect()
     sizes = [sum(r.placed["size"] for r in got if r.placed.shard == s) for s in range(4)]
-    assert max(sizes) - min(sizes) <= 4 * 400
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 4
+    assert len({(r.text, r.placed.shard) for r in got}) == 1000
+    for s in range(4):
+        assert sorted(r.placed.slot for r in got if r.placed.shard == s) == list(range(sum(r.placed.shard == s for r in got)))
 
 
 def test_odd_rows(odd, none):
