@@ -30,3 +30,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch between the JVM and a Python worker; texts are wide, and the default is for narrow rows.
+BATCH_BYTES = 4 << 20
+
+
+def wide(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, "64m") not in ("4m", str(BATCH_BYTES), f"{BATCH_BYTES}b"):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df

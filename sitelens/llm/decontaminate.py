@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, wide
 from .words import LOWER, NON_WORD, bounds
 
 WINDOW = 13
@@ -131,6 +131,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     text: no window; null item id: listed as ''. Repeated items count once by id. An empty
     benchmark hits nothing. A column of ``docs`` named as ``into`` is replaced.
     """
+    docs = wide(docs)
     blocks = list(_blocks(benchmark, item_col, item_text_col, size, block_bytes))
     text = F.col(text_col).cast("string")
     if len(blocks) == 1:

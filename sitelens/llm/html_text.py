@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import wide
+
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.25, 70, 200, 0.15, 0.25
 
 #: Common function words of the languages served.
@@ -211,4 +213,4 @@ def extract(pages: DataFrame, html_col: str = "html", into: str = "text") -> Dat
     block becomes one space. Null, empty and text-free pages give an empty text; unclosed tags and
     cut pages are read as far as they go; the whole page is read. An empty table stays empty.
     """
-    return pages.withColumn(into, main_text_of(F.col(html_col)))
+    return wide(pages).withColumn(into, main_text_of(F.col(html_col)))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import wide
+
 #: n-grams in a profile and of a document.
 PROFILE = 400
 #: Labelled rows of each language that a profile is fitted on, at most.
@@ -69,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, most: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from about ``max_labelled`` rows of each at most (those with the smallest
     hashes of their ids). Rows with null text or label take no part. The result holds ``most`` grams a language."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("place"))
+    rows = wide(labelled).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("place"))
     rows = rows.where("lang is not null and text is not null")
     shares = {r.lang: min(1.0, max_labelled / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
@@ -119,7 +121,7 @@ def predict(text: Column, profiles: dict[str, list[int]], most: int = PROFILE) -
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct column ``into``: lang, score. A column of that name is replaced; an empty table stays empty."""
-    return docs.withColumn(into, predict(F.col(text_col).cast("string"), profiles))
+    return wide(docs).withColumn(into, predict(F.col(text_col).cast("string"), profiles))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, wide
 
 #: A unit of fewer words repeats by chance and is left alone.
 MIN_WORDS = 5
@@ -64,7 +64,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an id count as one document with their texts laid over each other: a unit is never a repeat of
     one at its own id and offset. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = wide(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     found = materialise(rows.mapInArrow(_units(min_words), "doc_id long, start int, stop int, h long, l long"), "units")
     first = found.groupBy("h", "l").agg(F.min(F.struct("doc_id", "start")).alias("k"), F.count("*").alias("c")).where("c > 1")
     first = first.select("h", "l", F.col("k.doc_id").alias("keeper_id"), F.col("k.start").alias("keeper_start"))

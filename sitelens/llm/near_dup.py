@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, wide
 from .graph import components
 from .words import U64, mix, shingle_sets
 
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys with others, so a group of near copies costs one comparison a member. What buckets still
     join although it is not linked yet goes through an exact filter, which leaves no link out.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = wide(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = materialise(docs.mapInArrow(_features(size, keys, rows), _FEATURES), "features")
     first = features.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "a", "b")).alias("r"))
     reps = materialise(first.select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), "r.a", "r.b"), "reps")

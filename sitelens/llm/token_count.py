@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, scratch
+from .common import materialise, scratch, wide
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
@@ -67,7 +67,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """Tokenise into one flat file a task in ``folder``; (file, ordinal, doc_id) says in which order documents were written."""
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = wide(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialise(rows.mapInArrow(_write(folder, vocabulary, end_of_document), "file string, ordinal long, doc_id long"), "roster")
 
 
