@@ -92,7 +92,7 @@ def apply(pages: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
     by = own.groupBy("__host").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", "regex")).alias("__rules"))
     target = F.regexp_replace(F.regexp_extract("url", r"(?i)^\s*https?://[^/?#]+([^#]*)", 1), r"^(?!/)", "/")
     joined = pages.withColumn("__host", urls.host("url")).withColumn("__path", target).join(by, "__host", "left")
-    hits = F.filter("__rules", lambda r: F.col("__path").rlike(r["regex"]))
+    hits = F.filter("__rules", lambda r: F.rlike(F.col("__path"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("__host", "__path", "__rules")
 

@@ -88,7 +88,7 @@ def expand_tree(docs: DataFrame, root: str, max_urls: int = MAX_URLS, max_sitema
             truncated = True
             break
         visited[url] = len(visited)
-        rows = parsed.where((F.col("sitemap_url") == url) & (F.col("kind") == "index")).orderBy("pos").select("loc").limit(max_urls).collect()
+        rows = parsed.where((F.col("sitemap_url") == url) & (F.col("kind") == "index")).orderBy("pos").select("loc").limit(MAX_URLS).collect()
         todo = [r.loc for r in rows if r.loc] + todo
         if not rows and parsed.where(F.col("sitemap_url") == url).isEmpty():
             missing.append((url, "not found"))

@@ -106,7 +106,7 @@ def trend_sink(finished: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         days = [r.day for r in frame.select("day").distinct().collect()]
         old = f"{path}/current"
         try:
-            kept = spark.read.parquet(old).where(F.col("day").isin(days)).select(*frame.columns)
+            kept = spark.read.schema(frame.schema).parquet(old).where(F.col("day").isin(days))
             frame = frame.unionByName(kept)
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
