@@ -112,3 +112,23 @@ def previous_level(headings: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     return headings.withColumn("previous", F.lag("level").over(Window.partitionBy("page_id").orderBy("pos")))
+
+
+def hreflang_without_return(pages: DataFrame) -> DataFrame:
+    """(url, href): alternates of crawled pages (final_url, hreflang) whose own alternates don't lead back."""
+    edges = pages.select(F.col("final_url").alias("url"), F.explode("hreflang").alias("x")).select("url", F.col("x.href").alias("href")).where("url <> href").distinct()
+    known = edges.join(pages.select(F.col("final_url").alias("href")).distinct(), "href", "left_semi")
+    back = edges.select(F.col("href").alias("url"), F.col("url").alias("href"))
+    return known.join(back, ["url", "href"], "left_anti").select("url", "href")
+
+
+def listed_but_noindex(listed: DataFrame, pages: DataFrame) -> DataFrame:
+    """URLs of a sitemap (url) whose page asks not to be indexed."""
+    barred = pages.where("robots.noindex or robots.header_noindex").select("url")
+    return listed.select("url").distinct().join(barred, "url", "left_semi")
+
+
+def canonical_to_error(pages: DataFrame) -> DataFrame:
+    """(url, canonical, http_status): canonicals of crawled pages that lead to a page with an error status."""
+    bad = pages.where("http_status >= 400").select(F.col("final_url").alias("canonical"), "http_status")
+    return pages.select("url", F.explode("canonicals").alias("canonical")).join(bad, "canonical").select("url", "canonical", "http_status")

@@ -7,11 +7,48 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import crosspage, history, reports, scoring, structured
-from ..sources import robots, sitemap
+from ..sources import readers, robots, sitemap, store
 from ..streaming import progress
 from . import frames as f
 from .registry import _COUNTS, _events, _scores_sql, register
 
+# --- files: what is written is read again ---
+
+
+@register("src_3_csv_urls", "SELECT url FROM pages WHERE page_id % 4 <> 0")
+def _(spark, d):
+    path = store.scratch(spark, "csv")
+    url = F.when(F.col("page_id") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
+    f.table(spark, d, "pages").select("page_id", url.alias("url")).write.option("header", True).csv(path)
+    return readers.csv_urls(spark, path, "url")
+
+
+@register("snk_1_replace_snapshots", "SELECT crawl_id, page_id, CASE WHEN crawl_id = 1 THEN 'new' ELSE 'old' END AS v FROM (SELECT page_id % 3 AS crawl_id, page_id FROM pages)")
+def _(spark, d):
+    path = store.scratch(spark, "facts")
+    rows = f.table(spark, d, "pages").select((F.col("page_id") % 3).alias("crawl_id"), "page_id")
+    for v, part in (("old", rows), ("new", rows.where("crawl_id = 1"))):
+        part = part.withColumn("v", F.lit(v))
+        store.replace_snapshots(part, part, part, path)
+    return spark.read.parquet(f"{path}/snapshots").select(F.col("crawl_id").cast("long").alias("crawl_id"), "page_id", "v")
+
+
+@register("snk_2_append_changes", f"SELECT change_type, count(*) AS n FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'schema_added' WHEN 'N' THEN 'schema_modified' ELSE 'schema_removed' END AS change_type FROM lineitem WHERE l_suppkey <= 3) GROUP BY 1")
+def _(spark, d):
+    path = store.scratch(spark, "changes")
+    rows = _changes(spark, d).where("crawl_id <= 3")
+    for k in range(2):
+        store.append_changes(rows.where(F.col("id") % 2 == k), path)
+    return reports.counts_by(spark.read.parquet(path), "change_type")
+
+
+@register("snk_11_json", "SELECT doc_id, source, lang FROM documents")
+def _(spark, d):
+    path = store.scratch(spark, "json")
+    store.to_json(f.table(spark, d, "documents").select("doc_id", "source", "lang"), path)
+    return spark.read.schema("doc_id long, source string, lang string").json(path)
+
+
 # --- robots and sitemaps, with documents made from the hosts of the given pages ---
 
 _RULES = "User-agent: *\nDisallow: /en/6\nAllow: /en/66\nCrawl-delay: 1.5\n\nUser-agent: lens\nDisallow: /*7$\n"

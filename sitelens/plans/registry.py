@@ -37,8 +37,8 @@ def _joined(column, sep: str = "|"):
 
 
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the page checks and of duplicate titles and headings."""
-    pages = f.extracted(spark, sf_dir)
+    """Findings of the page checks and of duplicate titles and headings; pages are parsed once."""
+    pages = f.extracted(spark, sf_dir).persist()
     found = checks.run(pages).select("page_id", "check_id", "severity")
     across = [crosspage.duplicate_issues(pages, k).select("page_id", "check_id", "severity") for k in ("title", "h1")]
     return found.unionByName(across[0]).unionByName(across[1])
@@ -242,8 +242,6 @@ def _(spark, d):
 @register("flt_1_scope", "SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://([^/?#]*\\.)?example\\.com([/?#]|$)') OR NOT (p = '/en' OR p LIKE '/en/%') THEN 'out_of_scope' WHEN regexp_matches(p, '^/en/[^/]*7[^/]*$') THEN 'blocked' ELSE 'in_scope' END AS class FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM pages)")
 def _(spark, d):
     rows = f.table(spark, d, "pages").select("page_id", "url")
-    own = F.lit("https://www.example.com")
-    del own
     return rows.select("page_id", readers.scope_class("url", "https://a.example.com", "/en", block=["/en/*7*"]).alias("class"))
 
 
@@ -533,7 +531,6 @@ def _(spark, d):
 
 # --- aggregates ---
 
-_LEFT = f"(SELECT p_partkey AS page_id, 100.0 AS score FROM part)"
 
 
 @register("agg_2_page_scores", f"SELECT page_id, score FROM {_scores_sql(f.ISSUES_SQL, 0)}")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import first_per
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which executors and driver share; a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def replace_snapshots(snapshots: DataFrame, issues: DataFrame, entities: DataFrame, path: str) -> None:
     """Write a crawl's facts so that running it again leaves one copy: partitions of the crawls present are replaced."""
     for name, frame in (("snapshots", snapshots), ("issues", issues), ("entities", entities)):

@@ -67,3 +67,19 @@ def test_empty_lists_and_coverage(spark):
     rows = spark.createDataFrame([(1, [("Product", "eligible")]), (1, []), (2, [("Product", "ineligible")])], "page_id int, rich array<struct<profile: string, status: string>>")
     assert tuple(reports.coverage(rows).first()) == (3, 2, 1)
     assert {tuple(r) for r in reports.rich_rollup(rows).collect()} == {("Product", "eligible", 1), ("Product", "ineligible", 1)}
+
+
+def test_relations_between_pages(spark):
+    kind = "url string, final_url string, http_status int, hreflang array<struct<lang: string, href: string>>, canonicals array<string>, robots struct<noindex: boolean, header_noindex: boolean>"
+    pages = spark.createDataFrame(
+        [
+            ("a", "a", 200, [("en", "a"), ("de", "b"), ("fr", "c")], ["a"], (False, False)),
+            ("b", "b", 200, [("en", "a")], ["gone"], (False, True)),
+            ("c", "c", 200, [], ["c"], (True, False)),
+            ("gone", "gone", 404, [], [], (False, False)),
+        ],
+        kind,
+    )
+    assert [tuple(r) for r in crosspage.hreflang_without_return(pages).collect()] == [("a", "c")]
+    assert {r.url for r in crosspage.listed_but_noindex(pages.select("url"), pages).collect()} == {"b", "c"}
+    assert [tuple(r) for r in crosspage.canonical_to_error(pages).collect()] == [("b", "gone", 404)]
