@@ -47,8 +47,8 @@ def _features(size: int, keys: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 sets = list(shingle_sets(part.column(1), size))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 table = np.zeros((len(sets), 2 * keys), U64)
@@ -64,8 +64,8 @@ def _features(size: int, keys: int, rows: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], ["id", "shingles"])
 
     return run

@@ -11,7 +11,7 @@ U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 #: Bytes of text handled at once; a longer single text makes a longer piece.
-PIECE_BYTES = 512 << 10
+PIECE_BYTES = 128 << 10
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
