@@ -74,7 +74,7 @@ def test_random_groups_around_the_threshold(spark):
         for k in range(40):
             words = list(rng.choice([base, texts.get(f"{group}", base)]))
             for _ in range(rng.randrange(0, 6)):
-                words[rng.randrange(90)] = rng.choice(["the", "of", f"x{rng.randrange(30)}"])
+                words[rng.randrange(len(words))] = rng.choice(["the", "of", f"x{rng.randrange(30)}"])
             if rng.random() < 0.3:
                 words = words[rng.randrange(12) :]
             texts[f"{group}"] = words
