@@ -47,7 +47,7 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages score worst and why: score and counts of findings by severity for each page."""
     pages = f.table(spark, sf_dir, "pages").select("page_id", "url", F.lit(100.0).alias("score"))
-    found = page_findings(spark, sf_dir)
+    found = page_findings(spark, sf_dir).persist()  # read by the scores and by the counts
     counts = scoring.issue_counts(found)
     n = lambda k: F.coalesce(F.element_at("issue_counts", F.lit(k)), F.lit(0)).alias(k)
     return scoring.rescore(pages, found).join(counts, "page_id", "left").select("page_id", "url", "score", *map(n, catalog.SEVERITIES))
