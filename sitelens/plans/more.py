@@ -35,11 +35,16 @@ def _(spark, d):
 
 @register("snk_2_append_changes", f"SELECT change_type, count(*) AS n FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'schema_added' WHEN 'N' THEN 'schema_modified' ELSE 'schema_removed' END AS change_type FROM lineitem WHERE l_suppkey <= 3) GROUP BY 1")
 def _(spark, d):
+    return reports.counts_by(_appended(spark, d).where("crawl_id <= 3"), "change_type")
+
+
+def _appended(spark, d) -> DataFrame:
+    """All change rows, appended in two writes and read again."""
     path = store.scratch(spark, "changes")
-    rows = _changes(spark, d).where("crawl_id <= 3")
+    rows = _changes(spark, d)
     for k in range(2):
         store.append_changes(rows.where(F.col("id") % 2 == k), path)
-    return reports.counts_by(spark.read.parquet(path), "change_type")
+    return spark.read.parquet(path)
 
 
 @register("snk_11_json", "SELECT doc_id, source, lang FROM documents")
@@ -231,6 +236,11 @@ def _(spark, d):
     return reports.changes(_changes(spark, d), f.page_dim(spark, d), 5, change_type=["schema_added", "schema_removed"], limit=120).select("id", "change_type", "url")
 
 
+@register("snk_2_append_all_changes", f"SELECT change_type, count(*) AS n FROM {_CHANGES} GROUP BY 1")
+def _(spark, d):
+    return reports.counts_by(_appended(spark, d), "change_type")
+
+
 @register("agg_16_change_summary", f"SELECT change_type, count(*) AS n FROM {_CHANGES} GROUP BY 1")
 def _(spark, d):
     return reports.counts_by(_changes(spark, d), "change_type")

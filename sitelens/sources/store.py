@@ -29,8 +29,14 @@ def replaced(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("crawl_
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+#: Folders of change records; one for each crawl would grow with the number of crawls.
+CHANGE_BUCKETS = 32
+
+
 def append_changes(frame: DataFrame, path: str) -> None:
-    frame.write.mode("append").partitionBy("crawl_id").parquet(path)
+    """Append change records in bulk, below ``crawl_bucket=N``, a hash of the crawl."""
+    rows = frame.withColumn("crawl_bucket", F.pmod(F.xxhash64("crawl_id"), F.lit(CHANGE_BUCKETS)).cast("int"))
+    rows.hint("rebalance", F.col("crawl_bucket")).write.mode("append").partitionBy("crawl_bucket").parquet(path)
 
 
 def insert_link_checks(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("crawl_id", "url")) -> DataFrame:

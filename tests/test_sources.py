@@ -1,6 +1,7 @@
 import gzip
 
 from pyspark.sql import functions as F
+from sitelens.plans import more, registry  # noqa: F401
 from sitelens.sources import readers, robots, sitemap, store
 
 ROBOTS = """User-agent: *
@@ -58,6 +59,17 @@ def test_sitemaps(spark):
     assert sitemap.parse_sitemaps(docs).where("sitemap_url like '%other.xml'").first().error
 
 
+def test_all_changes_are_appended(spark, sf, monkeypatch):
+    written = []
+    append = store.append_changes
+    monkeypatch.setattr(store, "append_changes", lambda frame, path: (written.append(path), append(frame, path)))
+    registry.QUERIES["snk_2_append_changes"](spark, sf)
+    rows = spark.read.parquet(written[0])
+    assert len(written) == 2 and len(set(written)) == 1
+    assert rows.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() and rows.where("crawl_id > 3").count() > 0
+    assert rows.select("crawl_bucket").distinct().count() <= store.CHANGE_BUCKETS
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "u.csv"
     path.write_text("﻿name,url\na, https://e.com/1 \nb\n,\nc,https://e.com/2,extra\n", encoding="utf-8")
