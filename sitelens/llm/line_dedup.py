@@ -1,8 +1,9 @@
 """Substring dedup by hashed lines and sentences.
 
-Units are lines and, within a line of several, sentences. A unit is normalised (case folded, letters
-and digits only, single spaces) and hashed to 128 bits; of all units with a digest, the earliest by
-(doc_id, offset) stays and the others are cut out of their texts, with their original offsets.
+Units are lines with a word and, within a line of several, sentences. A unit is normalised (case
+folded, letters and digits only, single spaces) and hashed to 128 bits; of all units with a digest,
+the earliest by (doc_id, offset) stays and the others are cut out of their texts, with their original
+offsets. A short sentence counts together with the longer ones around it in its line.
 """
 
 from __future__ import annotations
@@ -18,24 +19,52 @@ from pyspark.sql import functions as F
 
 from .common import materialise, wide
 
-#: A unit of fewer words repeats by chance and is left alone.
+#: A sentence of fewer words inside a longer line repeats by chance; it is a repeat only between repeated neighbours.
 MIN_WORDS = 5
 
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S(?:.*?[.!?]+(?=\s)|.*)", re.S)
+_SENTENCE = re.compile(r"\S(?:.*?(?:[.!?]+(?=\s)|[。！？]+)|.*)", re.S)
 _WORD = re.compile(r"\w+")
+#: Letters of scripts that put no space between words; each counts as a word.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _digest(words: str) -> bytes:
+    return xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass"))
+
+
+def _long(words: list[str], joined: str, min_words: int) -> bool:
+    return len(words) >= min_words or not joined.isascii() and len(words) + len(_UNSPACED.findall(joined)) >= min_words
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit; a line of one sentence is one unit."""
+    """(start, end, digest) of each unit; a line of one sentence is one unit.
+
+    The digest of a sentence of fewer than ``min_words`` words covers all from the longer sentence
+    before it to the longer one after it; where a side has none, it is no unit of its own.
+    """
     for line in _LINE.finditer(text):
         spans = [(m.start(), m.end()) for m in _SENTENCE.finditer(text, line.start(), line.end())]
+        found = [_WORD.findall(text[start:end].casefold()) for start, end in spans]
         if len(spans) > 1:
-            spans.append((spans[0][0], spans[-1][1]))
-        for start, end in spans:
-            words = _WORD.findall(text[start:end].casefold())
-            if len(words) >= min_words:
-                yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+            short: list[tuple[int, int, str]] = []
+            before = None  # the longer sentence before
+            for (start, end), words in zip(spans, found):
+                joined = " ".join(words)
+                if not _long(words, joined, min_words):
+                    if words and before is not None:
+                        short.append((start, end, joined))
+                    continue
+                if short:
+                    around = _digest("\n".join([before, *(s[2] for s in short), joined]))
+                    for k, (a, b, _) in enumerate(short):
+                        yield a, b, xxhash.xxh3_128_digest(around + k.to_bytes(4, "little"))
+                    short = []
+                before = joined
+                yield start, end, _digest(joined)
+        whole = " ".join(w for words in found for w in words)
+        if whole:
+            yield spans[0][0], spans[-1][1], _digest(whole)
 
 
 def _units(min_words: int):

@@ -37,3 +37,24 @@ def test_odd_rows(odd, none):
     assert line_dedup.repeated_units(none).collect() == []
     cut = line_dedup.cut_repeats(odd)
     assert cut.columns == [*odd.columns, "removed"] and cut.count() == 13
+
+
+def removed(spark, rows):
+    cut = line_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: [dict(rows)[r.doc_id][s.start : s.stop] for s in r.removed or []] for r in cut}
+
+
+def test_short_lines_and_lines_without_spaces_are_units(spark):
+    rows = [(1, "All rights reserved\nOnly here\n版权所有\n---"), (2, "all RIGHTS reserved.\nQuite other\n版权所有\n---")]
+    assert removed(spark, rows) == {1: [], 2: ["all RIGHTS reserved.", "版权所有"]}
+
+
+def test_short_sentences_go_between_repeated_neighbours(spark):
+    first, last = "Here stands the first of the sentences.", "And here stands the last of them."
+    rows = [(1, f"Start one. {first} Yes. So it is. {last} End one."), (2, f"Start two. {first} Yes. So it is. {last} End two."), (3, f"{first} No. So it is. {last} Start one. Else.")]
+    assert removed(spark, rows) == {1: [], 2: [first, "Yes.", "So it is.", last], 3: [first, last]}
+
+
+def test_sentences_of_a_line_without_spaces(spark):
+    rows = [(1, "这是第一句话。中间一句不同的话。"), (2, "这是第一句话。这里说的是别的事情。")]
+    assert removed(spark, rows) == {1: [], 2: ["这是第一句话。"]}
