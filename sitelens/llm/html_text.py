@@ -33,7 +33,9 @@ qui sa sans se ses son sur te tu un une vous
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until-found)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: One attribute after another, so that what stands inside a quoted value is never taken for a name.
+_ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+|\"[^\"]*+\"|'[^']*+'")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words of class names, ids and roles that mark what is not the article; a part between hyphens counts as a word.
 _BOILER_WORDS = frozenset("""
@@ -47,6 +49,8 @@ _HEADING_WORDS = frozenset("header masthead banner".split())
 #: Words before a hyphen that say what a page has or lacks, not what the element is.
 _STATES = frozenset("has with no without not is show hide".split())
 _RAW = {"script", "style", "textarea", "title", "template", "iframe", "noembed", "noframes", "svg", "math", "select", "object", "canvas", "audio", "video", "noscript"}
+#: Without an end tag these reach to the end of the page; of the others only the start tag is skipped.
+_ENDLESS = {"script", "style", "textarea", "title"}
 _CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in _RAW}
 _BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
 _SCOPES = {"main", "article"}
@@ -67,6 +71,17 @@ class Block:
     label: bool | None = None
 
 
+def _hidden(attributes: str) -> bool:
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, *values in _ANY_ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def _boiler_name(attributes: str, scope: int | bool = 0) -> bool:
     if not attributes:
         return False
@@ -75,13 +90,14 @@ def _boiler_name(attributes: str, scope: int | bool = 0) -> bool:
             words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", name)]
             if words[0] not in _STATES and any(w in _BOILER_WORDS and not (scope and w in _HEADING_WORDS) for w in words):
                 return True
-    return bool(_HIDDEN.search(attributes))
+    return _hidden(attributes)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, white space and references still as written."""
     out = [Block()]
     stack: list[tuple[str, bool, int]] = []  # open containers: tag, boilerplate, scope
+    unclosed: set[str] = set()  # tags that no end tag follows any more
     leaf, leaf_boiler, linking, scopes, at, heading_until = "", False, False, 0, 0, False
 
     def start() -> None:
@@ -104,8 +120,13 @@ def blocks(page: str) -> list[Block]:
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
         if tag in _RAW:
             if not closing and not attributes.endswith("/"):
-                end = _CLOSERS[tag].search(page, at)
-                at = end.end() if end else len(page)
+                end = None if tag in unclosed else _CLOSERS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in _ENDLESS:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             out[-1].parts.append(" ")
         elif tag == "a":
             linking = not closing

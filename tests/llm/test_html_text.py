@@ -61,3 +61,21 @@ def test_odd_rows(spark, none):
     got = {r.page_id: r.text for r in html_text.extract(rows).collect()}
     assert got[1] == got[2] == "" and len(got[3].split("\n\n")) == 3000
     assert html_text.extract(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("attribute", ['class="overflow-hidden"', 'class="md:hidden"', 'style="overflow:hidden"', 'data-hidden="false"', "aria-hidden=false", 'title="not hidden here"', 'hidden="until-found"', 'data-note="display:none"', "title='aria-hidden=true'"])
+@pytest.mark.parametrize("tag", ["div", "section", "main", "article", "p"])
+def test_what_is_not_hidden_stays(tag, attribute):
+    inside = BODY if tag == "p" else f"<p>{BODY}</p>"
+    assert html_text.main_text(page(f"<{tag} {attribute}>{inside}</{tag}>")) == BODY
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", 'class="x" hidden', 'class="x"hidden', 'hidden="hidden"', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"', "style=display:none"])
+def test_what_is_hidden_goes(attribute):
+    assert html_text.main_text(page(f"<div><p>{BODY}</p><div {attribute}><p>{BODY}</p></div></div>")) == BODY
+
+
+@pytest.mark.parametrize("tag", ["video", "object", "select", "noscript", "svg", "math", "canvas", "audio", "iframe", "template", "noembed", "noframes"])
+def test_a_missing_end_tag_skips_only_the_start_tag(tag):
+    assert html_text.main_text(page(f"<article><p>{BODY}</p><{tag} x=1><p>{BODY} Then more.</p></article>")) == f"{BODY}\n\n{BODY} Then more."
+    assert html_text.main_text(page(f"<article><p>{BODY}</p><{tag}>gone</{tag}><p>{BODY} Then more.</p></article>")) == f"{BODY}\n\n{BODY} Then more."
