@@ -3,7 +3,8 @@
 Rows are ordered by (hash of the text, doc_id), so that equal texts are neighbours. Splitters are
 found by rounds: each counts the exact bytes below many candidate keys, in all partitions, and the
 next one probes only the brackets that hold a target, until every splitter meets the tolerance.
-Then one exchange moves each row to its piece, and a sort within pieces numbers the rows.
+Shards are parted first, then each of them into pieces. One exchange moves each row to its piece,
+and a sort within pieces numbers the rows.
 """
 
 from __future__ import annotations
@@ -70,17 +71,15 @@ def _counted(keys: DataFrame, probes: list[int]) -> list:
     return sorted(cells, key=lambda r: r["at"])
 
 
-def splitters(keys: DataFrame, pieces: int, whole_every: int = 1, tolerance: int = 0, probes: int = PROBES) -> list[int]:
-    """pieces - 1 keys that part the rows (h, doc_id, size) into pieces of nearly equal bytes.
+def splitters(keys: DataFrame, targets: list[int], tolerance: int = 0, probes: int = PROBES) -> list[int]:
+    """For each of the rising ``targets``, in bytes from 1 to the total, the key that parts the rows (h, doc_id, size) there.
 
-    A splitter stands after the row with which the bytes reach its target. Every ``whole_every``-th
-    one moves to the nearer border of the rows with that row's h, if that costs ``tolerance`` bytes
-    at most. Rows with one key are not parted.
+    A splitter stands after the row with which the bytes reach its target, or at the nearer border of
+    the rows with that row's h, if that costs ``tolerance`` bytes at most. Rows with one key are not parted.
     """
-    ends = keys.agg(F.sum("size").alias("total"), F.min(F.struct("h", "doc_id")).alias("lo"), F.max(F.struct("h", "doc_id")).alias("hi")).first()
-    if not ends.total:
+    ends = keys.agg(F.min(F.struct("h", "doc_id")).alias("lo"), F.max(F.struct("h", "doc_id")).alias("hi")).first()
+    if not ends.lo:
         return []
-    targets = [-(-i * ends.total // pieces) for i in range(1, pieces)]
     found: dict[int, int] = {}
     # the range of rows' keys that holds each target not yet met
     brackets = {(_key(ends.lo), _key(ends.hi)): list(range(len(targets)))}
@@ -99,21 +98,41 @@ def splitters(keys: DataFrame, pieces: int, whole_every: int = 1, tolerance: int
                 nearer.setdefault((lo, hi), []).append(t)
         brackets = nearer
     out = [found[t] for t in range(len(targets))]
-    movable = [t for t in range(len(targets)) if (t + 1) % whole_every == 0]
-    if tolerance and movable:
-        high = {t: _halves(out[t] - 1)[0] for t in movable}
-        borders = sorted({_key((h + k, -_SIGN)) for h in high.values() for k in (0, 1)})
-        sums = {r["at"]: r.bytes for r in _counted(keys, borders)}
-        below = np.cumsum([sums.get(i, 0) for i in range(len(borders))])  # bytes of keys below each border
-        for t in movable:
-            options = [borders.index(_key((high[t] + k, -_SIGN))) for k in (0, 1)]
-            start, end = (int(below[i]) for i in options)
-            before = targets[t] - start <= end - targets[t]
-            if (targets[t] - start if before else end - targets[t]) <= tolerance:
-                out[t] = borders[options[not before]]
+    if tolerance and targets:
+        high = [_halves(cut - 1)[0] for cut in out]
+        borders = sorted({_key((h + k, -_SIGN)) for h in high for k in (0, 1)})
+        below = bytes_below(keys, borders)
+        for t, target in enumerate(targets):
+            first, last = (_key((high[t] + k, -_SIGN)) for k in (0, 1))
+            before = target - below[first] <= below[last] - target
+            if (target - below[first] if before else below[last] - target) <= tolerance:
+                out[t] = first if before else last
     return sorted(out)
 
 
+def bytes_below(keys: DataFrame, cuts: list[int]) -> dict[int, int]:
+    """The bytes of the rows with keys below each of ``cuts``."""
+    cuts = sorted(set(cuts))
+    sums = {r["at"]: r.bytes for r in _counted(keys, cuts)}
+    return dict(zip(cuts, np.cumsum([sums.get(i, 0) for i in range(len(cuts))]).tolist()))
+
+
+def pieces_of(keys: DataFrame, bounds: list[int], total: int, per: int) -> list[int]:
+    """The splitters of ``per`` pieces of nearly equal bytes in each shard; every ``per``-th is one of ``bounds``."""
+    if per == 1 or not bounds:
+        return bounds
+    below = bytes_below(keys, bounds)
+    ends = [0, *(below[cut] for cut in bounds), total]
+    targets = [a + -(-k * (b - a) // per) for a, b in zip(ends, ends[1:]) if b > a for k in range(1, per)]
+    inner = iter(splitters(keys, targets))
+    out: list[int] = []
+    for shard, (a, b) in enumerate(zip(ends, ends[1:])):
+        edge = bounds[min(shard, len(bounds) - 1)]  # a shard without rows has no targets
+        own = [next(inner) if b > a else edge for _ in range(per - 1)]
+        out += [min(cut, edge) for cut in own] + [edge] if shard < len(bounds) else own
+    return out
+
+
 def _place(cuts: list[int], base: list[int]):
     """struct(piece, first) of a row's key: its piece, and the slot of that piece's first row."""
     probed, firsts = _probed(cuts), np.array(base, np.int64)
@@ -144,8 +163,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     keys = materialise(docs.select(high.alias("h"), low.alias("doc_id"), text_size(text).alias("size")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per = min(MOST_PIECES, max(1, -(-total // (shards * piece_bytes))))
-    # a boundary moves by less than half a piece, so pieces keep their order
-    cuts = splitters(keys, shards * per, per, int(min(total * tolerance / shards, total / (shards * per * 2))))
+    # the shards' boundaries come first, so that they don't depend on the pieces
+    bounds = splitters(keys, [-(-i * total // shards) for i in range(1, shards)], int(total * tolerance / shards))
+    cuts = pieces_of(keys, bounds, total, per)
     pieces = len(cuts) + 1
     held = keys.groupBy(_place(cuts, [0] * pieces)("h", "doc_id")["piece"].alias("piece")).agg(F.count("*").alias("n")).collect()
     counts = {r.piece: r.n for r in held}

@@ -61,6 +61,15 @@ def test_equal_texts_stay_whole_within_the_tolerance(spark, piece_bytes):
         assert sorted(r.placed.slot for r in got if r.placed.shard == s) == list(range(sum(r.placed.shard == s for r in got)))
 
 
+@pytest.mark.parametrize("rows", [[(k, f"text {k // 11} " * 3) for k in range(3000)], [(k, "x" * (9000 if k == 7 else k % 13)) for k in range(400)]])
+def test_shards_do_not_depend_on_the_pieces(spark, rows):
+    want = brute(rows, 4, 0.05)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece_bytes in (1 << 20, 3000, 150):
+        got = shard.shard(docs, shards=4, tolerance=0.05, piece_bytes=piece_bytes).collect()
+        assert {(int(md5(r.text.encode()).hexdigest()[:15], 16), r.doc_id): (r.placed["size"], r.placed.shard, r.placed.slot) for r in got} == want
+
+
 def test_odd_rows(odd, none):
     got = shard.shard(odd, shards=4).collect()
     assert len(got) == 13 and {r.placed.shard for r in got} <= {0, 1, 2, 3}
