@@ -58,6 +58,12 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"))
 
 
+def op8_stupid_backoff_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of up to two words: backs off from trigrams through bigrams to words."""
+    out = lm_score.stupid_backoff(table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -71,8 +77,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), items, sha, h["contaminated"].alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op9_exact_top_k, op10_decontaminate)}
-#: Not in SQL: units of sentences (1), tokens (2), main text (5) and language profiles (6); tested against brute force.
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate)}
+#: Not in SQL: units of sentences (1), tokens (2), main text (5), language profiles (6) and trigrams (8); tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dup": sql.near_dup(),
     "op4_histogram_shards": sql.shards(),
