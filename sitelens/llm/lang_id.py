@@ -20,6 +20,8 @@ from .common import wide
 PROFILE = 400
 #: Labelled rows of each language that a profile is fitted on, at most.
 MAX_LABELLED = 2000
+#: Share of the median score of a language's labelled rows that a text of it reaches at least.
+LEAST = 0.5
 
 _letters: list[np.ndarray] = []
 
@@ -68,20 +70,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, most: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles by language, from about ``max_labelled`` rows of each at most (those with the smallest
-    hashes of their ids). Rows with null text or label take no part. The result holds ``most`` grams a language."""
+def _sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int) -> tuple[DataFrame | None, list[str]]:
+    """(lang, text) of about ``max_labelled`` rows of each language at most, and the languages."""
     rows = wide(labelled).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("place"))
     rows = rows.where("lang is not null and text is not null")
     shares = {r.lang: min(1.0, max_labelled / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
-        return {}
+        return None, []
     limit = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, int(share * (1 << 30)))))
-    sample = rows.where(F.col("place") <= limit[F.col("lang")]).select("lang", "text")
+    return rows.where(F.col("place") <= limit[F.col("lang")]).select("lang", "text"), sorted(shares)
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, most: int = PROFILE) -> dict[str, list[int]]:
+    """Profiles by language, from about ``max_labelled`` rows of each at most (those with the smallest
+    hashes of their ids). Rows with null text or label take no part. The result holds ``most`` grams a language."""
+    sample, langs = _sampled(labelled, id_col, text_col, lang_col, max_labelled)
+    if sample is None:
+        return {}
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).collect()
-    out: dict[str, list[int]] = {lang: [] for lang in sorted(shares)}
+    out: dict[str, list[int]] = {lang: [] for lang in langs}
     for r in sorted(top, key=lambda r: (r.lang, r["rank"])):
         out[r.lang].append(r.gram)
     return out
@@ -124,5 +133,24 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     return wide(docs).withColumn(into, predict(F.col(text_col).cast("string"), profiles))
 
 
+def bounds(labelled: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, least: float = LEAST) -> dict[str, float]:
+    """The least score of each language at which a text counts as written in it: ``least`` times the median
+    score of the labelled rows (as many as ``fit`` takes) that are predicted as labelled."""
+    sample, langs = _sampled(labelled, id_col, text_col, lang_col, max_labelled)
+    if sample is None:
+        return {}
+    right = identify(sample, profiles).where("language.lang = lang").groupBy("lang").agg(F.percentile_approx("language.score", 0.5, 100000).alias("median"))
+    medians = {r.lang: r["median"] for r in right.collect()}
+    return {lang: least * medians.get(lang, 0.0) for lang in langs}
+
+
+def known(language: Column, least: dict[str, float]) -> Column:
+    """Whether a predicted struct(lang, score) names a language and reaches its bound."""
+    reached = F.lit(False)
+    for lang, score in least.items():
+        reached = reached | ((language["lang"] == lang) & (language["score"] >= score))
+    return reached & (language["lang"] != "und")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -23,3 +23,11 @@ def test_stages_keep_the_columns_of_documents(spark, sf, odd):
         for frame in (docs, docs.limit(0)):
             out = stage(spark, frame, sf)
             assert out.columns == docs.columns and out.count() <= frame.count()
+
+
+def test_text_in_no_known_language_goes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    texts = ["中国人民生活在这里，这是一个很长的句子", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem", "xqzkw vbgjt qqpz wxkj zzvq kjhg fdsx", "123 !!", None]
+    strange = spark.createDataFrame([(10**9 + k, t, None, "src0") for k, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(strange), sf).collect()}
+    assert kept == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
