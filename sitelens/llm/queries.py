@@ -59,8 +59,8 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts of up to two words: backs off from trigrams through bigrams to words."""
-    out = lm_score.stupid_backoff(table(spark, sf_dir, "documents"), order=3)
+    """Contexts of up to two words in a model of the n-grams that occur twice: backs off from trigrams through bigrams to words."""
+    out = lm_score.stupid_backoff(table(spark, sf_dir, "documents"), order=3, min_count=2)
     return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"))
 
 

@@ -73,7 +73,7 @@ BACKOFF = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, k, w[k] AS w2, CASE WHEN k > 1 THEN w[k - 1] END AS w1 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
 u AS (SELECT w2 AS w, count(*) AS c FROM t GROUP BY 1),
-b AS (SELECT w1, w2, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+b AS (SELECT w1, w2, count(*) AS c FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
 s AS (SELECT t.doc_id, sum(CASE WHEN b.c IS NOT NULL THEN log10(CAST(b.c AS DOUBLE) / x.c) WHEN t.w1 IS NULL THEN log10(y.c / n.n) ELSE log10(0.4) + log10(y.c / n.n) END) AS score
       FROM t JOIN u y ON y.w = t.w2 LEFT JOIN u x ON x.w = t.w1 LEFT JOIN b ON b.w1 = t.w1 AND b.w2 = t.w2, n GROUP BY 1)
