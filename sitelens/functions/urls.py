@@ -138,6 +138,15 @@ def resolve(raw: Column | str, base: Column | str) -> Column:
     return F.arrow_udf(run, "string")(_text(raw), _text(base))
 
 
+def resolve_all(raws: Column | str, base: Column | str) -> Column:
+    """The absolute URL of each of an array's, null where there is none."""
+
+    def run(lists: pa.Array, bases: pa.Array) -> pa.Array:
+        return pa.array([None if raw is None else [resolve_one(r, b) for r in raw] for raw, b in zip(lists.to_pylist(), bases.to_pylist())], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(_text(raws), _text(base))
+
+
 def url_hash(url: Column | str) -> Column:
     return F.sha2(_text(url), 256)
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import structured_data
+from .artifacts import spread
 
 _NODE = "struct<node: string, type: string, types: array<string>, format: string>"
 _VALUE = "struct<node: string, property: string, kind: string, value: string, value_types: array<string>>"
@@ -56,12 +57,12 @@ def _extract(schema: T.StructType):
             for at in range(0, len(batch), 64):
                 part, rows = batch.slice(at, 64), []
                 for page_id, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = structured_data.read(page)
-                    for pos, e in enumerate(found.entities):
+                    found, errors = structured_data.read(page)
+                    for pos, e in enumerate(found):
                         nodes, values = structured_data.flat(e)
                         stored = json.dumps({k: structured_data.plain(v) for k, v in e["properties"].items()}, ensure_ascii=False)
                         rows.append({"page_id": page_id, "pos": pos, "properties": stored, "entity_hash": e["hash"], "nodes": nodes, "prop_values": values, **{k: e[k] for k in ("id", "type", "types", "format", "identity", "location")}})
-                    rows += [{"page_id": page_id, "pos": -1 - k, "location": where, "error": told} for k, (where, told) in enumerate(found.errors)]
+                    rows += [{"page_id": page_id, "pos": -1 - k, "location": where, "error": told} for k, (where, told) in enumerate(errors)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return run
@@ -70,7 +71,7 @@ def _extract(schema: T.StructType):
 def extract(pages: DataFrame) -> DataFrame:
     """Entities and parse errors (error is not null, pos below 0) of pages (page_id, html)."""
     schema = T.StructType.fromDDL(ENTITY)
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_extract(schema), schema)
+    return spread(pages.select(F.col("page_id").cast("long"), "html")).mapInArrow(_extract(schema), schema)
 
 
 def entities(extracted: DataFrame) -> DataFrame:

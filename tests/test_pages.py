@@ -166,3 +166,18 @@ def test_value_forms(spark):
     cases = [("2024-02-30", "Date", False), ("2024-02-28T10:00Z", "Date", True), ("x", "URL", False), ("https://e.com", "URL", True), ("1.5", "Number", True), ("1.5", "Integer", False), ("True", "Boolean", True), ("InStock", "ItemAvailability", True), ("Gone", "ItemAvailability", False), ("x", "Text", True)]
     for text, kind, want in cases:
         assert spark.range(1).select(structured.value_matches(F.lit(text), kind)).first()[0] is want, (text, kind)
+
+
+def test_hostile_pages_end(spark):
+    deep = ["[" * 50000, "[" * 900 + "]" * 900, '{"a":' * 900 + "1" + "}" * 900]
+    body = "".join(f'<script type="application/ld+json">{d}</script>' for d in deep) + "<div itemscope itemprop=p>" * 1500 + "<div typeof=T property=p>" * 1500
+    out = structured.extract(page(spark, body=body).select("page_id", "html"))
+    assert structured.parse_errors(out).where("error like '%deeper%'").count() >= 3
+    for body in ("<a href=/x>" * 8000, "<a " * 40000, "<p><table>" + "<div>" * 20000 + "</p>" * 20000):
+        assert artifacts.extract(page(spark, body=body)).select("word_count").first().word_count >= 2
+
+
+def test_lists_and_empty_values(spark):
+    body = ld({"@type": "Thing", "name": ["a", None, ["b"]], "url": [], "image": [{"@value": 1.0}], "subjectOf": {}})
+    row = structured.extract(page(spark, body=body).select("page_id", "html")).first()
+    assert json.loads(row.properties) == {"name": ["a", "b"], "url": [], "image": 1.0} and row.identity == "a"
