@@ -90,8 +90,9 @@ class Page:
         page, at = self.page, 0
         last_end = page.rfind(">")
         while True:
-            found = _MARK.search(page, at) if at <= last_end or "<!--" in page[at : at + 4] else None
-            self._say(html.unescape(page[at : found.start() if found else len(page)]))
+            found = _MARK.search(page, at) if at <= last_end else None
+            stop = found.start() if found else page.find("<!--", at)
+            self._say(html.unescape(page[at : stop if stop >= 0 else len(page)]))
             if not found:
                 return self._end(0, len(page))
             at = found.end()
@@ -121,7 +122,7 @@ class Page:
                 attrs.setdefault(name.lower(), html.unescape(a or b or c))
             number = self._begin(tag, attrs, found.start(), at)
             if tag in RAW:
-                end = _CLOSERS[tag].search(page, at)
+                end = _CLOSERS[tag].search(page, at, last_end + 1)
                 inner = page[at : end.start() if end else len(page)]
                 self._say(html.unescape(inner) if tag in ("title", "textarea") else inner, tag)
                 at = self.stops[number] = end.end() if end else len(page)

@@ -82,8 +82,14 @@ def carry_forward(fetches: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def carry_children(carried: DataFrame, children: DataFrame) -> DataFrame:
-    """Findings or entities (page_id, crawl_id, ...) of carried pages, under the new crawl's id."""
-    return children.drop("crawl_id").join(carried.select("page_id", "crawl_id"), "page_id")
+    """Findings or entities (page_id, crawl_id, ...) of carried pages, under the new crawl's id.
+
+    Where ``carried`` has previous_crawl_id, only children of that crawl are carried; else all of ``children``.
+    """
+    if "previous_crawl_id" not in carried.columns:
+        return children.drop("crawl_id").join(carried.select("page_id", "crawl_id"), "page_id")
+    old = children.withColumnRenamed("crawl_id", "previous_crawl_id")
+    return old.join(carried.select("page_id", "previous_crawl_id", "crawl_id"), ["page_id", "previous_crawl_id"]).drop("previous_crawl_id")
 
 
 def page_changes(before: DataFrame, after: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -138,11 +144,13 @@ def _properties(entities: DataFrame, name: str) -> DataFrame:
 def property_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(page_id, key, property, change_type, severity, before, after) of entities on both sides whose hash differs.
 
-    Blank texts and empty lists count as absent; properties is a JSON object.
+    Blank texts and empty lists count as absent; properties is a JSON object. Where those of either side are
+    larger than MAX_PROPERTIES, neither side's are compared, so that nothing seems to be removed.
     """
-    ka = _keyed(before).select("page_id", "key", F.col("entity_hash").alias("ha"))
-    kb = _keyed(after).select("page_id", "key", F.col("entity_hash").alias("hb"))
-    changed = ka.join(kb, ["page_id", "key"]).where("ha <> hb").select("page_id", "key")
+    large = lambda name: F.coalesce(F.octet_length("properties") > MAX_PROPERTIES, F.lit(False)).alias(name)
+    ka = _keyed(before).select("page_id", "key", F.col("entity_hash").alias("ha"), large("la"))
+    kb = _keyed(after).select("page_id", "key", F.col("entity_hash").alias("hb"), large("lb"))
+    changed = ka.join(kb, ["page_id", "key"]).where("ha <> hb and not la and not lb").select("page_id", "key")
     a = _properties(before, "a").drop("ah").join(changed, ["page_id", "key"], "left_semi")
     b = _properties(after, "b").drop("bh").join(changed, ["page_id", "key"], "left_semi")
     both = a.join(b, ["page_id", "key", "property"], "full_outer").where("not (a <=> b)")

@@ -55,7 +55,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Findings of the given pages in SQL: those checks that can occur on them.
 _OWN = "(SELECT *, count(*) OVER (PARTITION BY lower(title)) AS same_title, count(*) OVER (PARTITION BY lower(h1)) AS same_h1 FROM " + f.PAGES_SQL + ")"
-_GENERIC = "('', 'click here', 'click', 'here', 'read more', 'read', 'more', 'learn more', 'link', 'this', 'this page', 'go')"
+_GENERIC = "(" + ", ".join(f"'{phrase}'" for phrase in ["", *checks.GENERIC]) + ")"
 _PAGE_ISSUES_SQL = "(" + " UNION ALL ".join(
     f"SELECT page_id, '{check}' AS check_id FROM {_OWN} WHERE {when}"
     for check, when in [
@@ -329,7 +329,7 @@ def _(spark, d):
     return checks.run(f.extracted(spark, d), disabled=others, severity={"meta.title.too_long": "high"}).select("page_id", "check_id", "severity")
 
 
-@register("chk_47_fingerprint", f"SELECT page_id, sha256(concat('technical.https.not_secure:', url, ':Page is served over HTTP: ', url)) AS fingerprint FROM {f.PAGES_SQL} WHERE url LIKE 'http://%'")
+@register("chk_47_fingerprint", f"SELECT page_id, sha256(concat('technical.https.not_secure:', url, ':delivered without TLS: ', url)) AS fingerprint FROM {f.PAGES_SQL} WHERE url LIKE 'http://%'")
 def _(spark, d):
     found = checks.run(f.extracted(spark, d)).where("check_id = 'technical.https.not_secure'")
     return checks.fingerprint(found).select("page_id", "fingerprint")

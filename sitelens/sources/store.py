@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,18 @@ def append_changes(frame: DataFrame, path: str) -> None:
     rows.hint("rebalance", F.col("crawl_bucket")).write.mode("append").partitionBy("crawl_bucket").parquet(path)
 
 
+def upsert_catalog(rows: DataFrame, path: str, key: str = "check_id") -> None:
+    """The catalog as a table at ``path``/catalog: ``rows`` replace those of their id, others stay."""
+    spark = rows.sparkSession
+    try:
+        rows = replaced(spark.read.schema(rows.schema).parquet(f"{path}/catalog"), rows, [key])
+    except AnalysisException as e:  # the first write finds no table
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows.write.mode("overwrite").parquet(f"{path}/staged")
+    spark.read.parquet(f"{path}/staged").write.mode("overwrite").parquet(f"{path}/catalog")
+
+
 def insert_link_checks(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("crawl_id", "url")) -> DataFrame:
     """``existing`` and those rows of ``new`` whose key it lacks, one for each key."""
     return existing.unionByName(new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti"))

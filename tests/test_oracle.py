@@ -1,7 +1,7 @@
 """Every registered query with SQL gives the rows that the SQL states."""
 
 import pytest
-from sitelens.plans import more, registry  # noqa: F401
+from sitelens.plans import markup, more, registry  # noqa: F401
 from tests import oracle
 
 

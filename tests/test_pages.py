@@ -173,7 +173,7 @@ def test_hostile_pages_end(spark):
     body = "".join(f'<script type="application/ld+json">{d}</script>' for d in deep) + "<div itemscope itemprop=p>" * 1500 + "<div typeof=T property=p>" * 1500
     out = structured.extract(page(spark, body=body).select("page_id", "html"))
     assert structured.parse_errors(out).where("error like '%deeper%'").count() >= 3
-    for body in ("<a href=/x>" * 8000, "<a " * 40000, "<p><table>" + "<div>" * 20000 + "</p>" * 20000):
+    for body in ("<a href=/x>" * 8000, "<a " * 40000, "<p><table>" + "<div>" * 20000 + "</p>" * 20000, "<script>" + "</script " * 40000):
         assert artifacts.extract(page(spark, body=body)).select("word_count").first().word_count >= 2
 
 
