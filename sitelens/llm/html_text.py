@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import wide
 
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.25, 70, 200, 0.15, 0.25
+#: A page whose words hold fewer stop words is in none of the languages served; sentences are looked for instead.
+UNKNOWN = 0.1
 
 #: Common function words of the languages served.
 STOP_WORDS = frozenset("""
@@ -37,6 +39,11 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'
 _ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+|\"[^\"]*+\"|'[^']*+'")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+#: Marks that end a sentence, in any script.
+_SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|[。！？｡।॥؟۔።។။]")
+#: Letters of scripts in which a letter says as much as two or three elsewhere.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Words of class names, ids and roles that mark what is not the article; a part between hyphens counts as a word.
 _BOILER_WORDS = frozenset("""
 ad ads adsense banner promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay
@@ -106,9 +113,11 @@ def blocks(page: str) -> list[Block]:
             out.append(Block())
         out[-1].boiler, out[-1].scope, out[-1].heading = boiler or leaf_boiler, scope, leaf[:1] == "h" and leaf[1:].isdigit()
 
+    last = page.rfind(">")  # beyond it there is no tag, and at most one comment
     while True:
-        found = _MARK.search(page, at)
-        piece = page[at : found.start() if found else len(page)]
+        found = _MARK.search(page, at) if at <= last else None
+        stop = found.start() if found else page.find("<!--", at)
+        piece = page[at : stop if stop >= 0 else len(page)]
         if piece:
             out[-1].parts.append(piece)
             if linking:
@@ -120,7 +129,7 @@ def blocks(page: str) -> list[Block]:
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
         if tag in _RAW:
             if not closing and not attributes.endswith("/"):
-                end = None if tag in unclosed else _CLOSERS[tag].search(page, at)
+                end = None if tag in unclosed else _CLOSERS[tag].search(page, at, last + 1)
                 if end:
                     at = end.end()
                 elif tag in _ENDLESS:
@@ -153,7 +162,23 @@ def blocks(page: str) -> list[Block]:
             start()
 
 
-def _decide(block: Block) -> bool | None:
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _foreign(found: list[Block]) -> bool:
+    """Whether what a page says at length is in none of the languages that the stop words are of."""
+    counts = [_stops(b.text) for b in found if not b.boiler and _size(b.text) >= SHORT]
+    return sum(s for s, _ in counts) < UNKNOWN * sum(n for _, n in counts)
+
+
+def _decide(block: Block, foreign: bool) -> bool | None:
     """True: main text; False: boilerplate; None: left to the second pass."""
     if block.boiler:
         return False
@@ -162,13 +187,17 @@ def _decide(block: Block) -> bool | None:
         return False
     if not block.scope and "©" in block.text:
         return False
-    if block.heading or len(block.text) < SHORT:
+    if block.heading or _size(block.text) < SHORT:
         return None
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS or stops >= FEW_STOPS and len(block.text) >= LONG:
+    stops, words = _stops(block.text)
+    share = stops / max(1, words)
+    if share >= MANY_STOPS or share >= FEW_STOPS and len(block.text) >= LONG:
         return True
-    return None if block.scope or stops >= FEW_STOPS else False
+    letters = "" if block.text.isascii() else "".join(_WORD.findall(block.text))
+    if foreign or 2 * len(_LATIN.findall(letters)) < len(letters):
+        # no stop words to go by: running text is what has sentences
+        return True if _SENTENCE.search(block.text) else None
+    return None if block.scope or share >= FEW_STOPS else False
 
 
 def _neighbours(found: list[Block]) -> list[bool]:
@@ -211,8 +240,10 @@ def main_text(page: str) -> str:
         text = "".join(block.parts)
         block.text = " ".join((html.unescape(text) if "&" in text else text).split())
         if block.text:
-            block.label = _decide(block)
             found.append(block)
+    foreign = _foreign(found)
+    for block in found:
+        block.label = _decide(block, foreign)
     labels = _neighbours(found)
     # where articles hold at least half of the main text, what stands around them is not part of it
     inside = sum(len(b.text) for b, good in zip(found, labels) if good and b.scope)

@@ -79,3 +79,34 @@ def test_what_is_hidden_goes(attribute):
 def test_a_missing_end_tag_skips_only_the_start_tag(tag):
     assert html_text.main_text(page(f"<article><p>{BODY}</p><{tag} x=1><p>{BODY} Then more.</p></article>")) == f"{BODY}\n\n{BODY} Then more."
     assert html_text.main_text(page(f"<article><p>{BODY}</p><{tag}>gone</{tag}><p>{BODY} Then more.</p></article>")) == f"{BODY}\n\n{BODY} Then more."
+
+
+OTHER_LANGUAGES = [
+    "中国是一个历史悠久的国家，拥有丰富的文化遗产。人们在这里生活和工作已经有几千年了，城市和乡村都在不断变化。今天许多年轻人到城市里寻找工作，也有人回到家乡。",
+    "Россия является большой страной, и в ней живут люди разных народов. Каждый год сюда приезжают гости, чтобы увидеть города, реки и леса. Многие из них возвращаются снова.",
+    "L'Italia conserva città antiche, e ogni anno milioni di visitatori arrivano dal mondo intero. Molti tornano volentieri, perché trovano sempre qualcosa di nuovo da vedere e da gustare.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+]
+
+
+@pytest.mark.parametrize("text", OTHER_LANGUAGES)
+def test_pages_in_languages_without_stop_words(text):
+    menu = "<nav><a href=/a>Menu</a></nav>" + "<ul>" + "".join(f"<li><a href=/{k}>Link {k} to something else</a></li>" for k in range(6)) + "</ul>"
+    page = f"<html><body>{menu}<div><p>{text}</p><p>{text[::-1][1:]}{text[-1]}</p></div><footer>{text}</footer></body></html>"
+    assert html_text.main_text(page).split("\n\n")[0] == text and html_text.main_text(page).count(text) == 1
+
+
+def test_a_paragraph_in_another_script_stays():
+    english = "This is a paragraph of the text that is long enough to be taken for what it is by all of the rules."
+    page = f"<body><div><p>{english}</p><p>{OTHER_LANGUAGES[0]}</p><p>{english} And more.</p></div></body>"
+    assert html_text.main_text(page).split("\n\n") == [english, OTHER_LANGUAGES[0], english + " And more."]
+
+
+def test_hostile_pages_end():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 40000, "<script>" + "</script " * 40000, "<div>" * 20000 + "</p>" * 20000, "<!--" * 40000):
+        html_text.main_text(page)
+    assert time.time() - began < 10
