@@ -10,7 +10,8 @@ def brute(rows, queries_of, k, scale=64):
     out = set()
     for i, q in sound:
         if queries_of(i):
-            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in sound if j != i and len(c) == len(q))
+            cut = lambda s: max(1 - 2**63, min(2**63 - 1, s))
+            scores = sorted((-cut(sum(a * b for a, b in zip(q, c))), j) for j, c in sound if j != i and len(c) == len(q))
             out |= {(i, n, j, -s) for n, (s, j) in enumerate(scores[:k], 1)}
     return out
 
@@ -27,10 +28,40 @@ def test_bounds_leave_candidates_out_and_ties_go_to_the_smaller_id():
     c = np.rint(centres[rng.integers(0, 20, 4000)] + rng.normal(0, 5, (4000, 8))).astype(np.int64)
     c[1] = c[0]
     ids = np.arange(4000)
-    for query, best, scores in top_k._search(ids[:5], c[:5], ids, c, c[:24], 10):
+    x = c.astype(float)
+    table = top_k.to_pivots(x, x[:24])
+    for query, best, scores, evaluated in top_k.search(ids[:5], x[:5], table[:5], np.full(5, -np.inf), ids, x, table, x[:24], 10):
         exact = c @ c[query]
         want = sorted((-int(s), int(i)) for i, s in enumerate(exact) if i != query)[:10]
-        assert [(-int(s), int(i)) for i, s in zip(best, scores)] == want
+        assert [(-int(s), int(i)) for i, s in zip(best, scores)] == want and evaluated < len(c) / 4
+
+
+def test_a_known_score_leaves_more_out_and_changes_nothing():
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(0, 40, (3000, 6)))
+    ids, table = np.arange(3000), top_k.to_pivots(x, x[:24])
+    run = lambda known: list(top_k.search(ids[:20], x[:20], table[:20], known, ids, x, table, x[:24], 5))
+    free = run(np.full(20, -np.inf))
+    tight = run(np.array([f[2][-1] for f in free], float))
+    assert all((a[1] == b[1]).all() and b[3] <= a[3] for a, b in zip(free, tight)) and sum(f[3] for f in tight) < 20 * 3000
+
+
+def test_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "VECTOR_BLOCK", 150)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 5).round(1).tolist()) for i in range(700)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in top_k.exact_top_k(frame, F.col("vec_id") % 20 == 0, k=6).collect()} == brute(rows, lambda i: i % 20 == 0, 6)
+
+
+def test_very_large_vectors_are_exact(spark):
+    rng = np.random.default_rng(3)
+    for size in (1e3, 1e9, 3e15, 1e35):
+        rows = [(i, (rng.normal(0, 10, 4) * (size if i % 37 == 0 else 1)).tolist()) for i in range(400)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {tuple(r) for r in top_k.exact_top_k(frame, F.col("vec_id") % 20 == 0, k=5).collect()}
+        assert got == brute(rows, lambda i: i % 20 == 0, 5)
 
 
 def test_odd_vectors(spark):
