@@ -23,7 +23,8 @@ from .common import materialise, wide
 MIN_WORDS = 5
 
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S(?:.*?(?:[.!?]+(?=\s)|[。！？]+)|.*)", re.S)
+#: A run of marks is looked at once, from its first mark.
+_SENTENCE = re.compile(r"[.!?]{2,}+(?=\s)|\S(?:.*?(?:(?<![.!?])[.!?]++(?=\s)|[。！？]++)|.*)", re.S)
 _WORD = re.compile(r"\w+")
 #: Letters of scripts that put no space between words; each counts as a word.
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -115,8 +116,13 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, into: str = "removed") -> DataFrame:
-    """``docs`` with the repeats cut from the text, and in ``into`` the spans removed from the original text."""
+    """``docs`` with the repeats cut from the text, and in ``into`` the spans removed from the original text.
+
+    A unit goes if an equal one is earlier by (doc_id, start), be that one a unit of its own or part of a line that
+    goes itself. Null ids and null or empty texts stay as they are, with null in ``into``; rows that repeat an id lose
+    the same spans. A column of ``docs`` named as ``into`` is replaced. An empty table stays empty.
+    """
     spans = repeated_units(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cuts"))
     joined = docs.withColumn("__id", F.col(id_col).cast("long")).join(spans.withColumnRenamed("doc_id", "__id"), "__id", "left")
     cut = F.arrow_udf(_cut, "string")(F.col(text_col), F.col("__cuts"))
-    return joined.withColumn(text_col, cut).select(*docs.columns, F.col("__cuts").alias(into))
+    return joined.withColumn(text_col, cut).select(*[c for c in docs.columns if c != into], F.col("__cuts").alias(into))

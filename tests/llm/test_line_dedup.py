@@ -19,7 +19,7 @@ def test_matches_brute_force(spark, sf, documents):
 
 def test_units_are_lines_and_sentences():
     text = "One two three four five. Six seven eight nine ten!\nToo short.\nA single sentence of six words"
-    assert [text[a:b] for a, b, _ in line_dedup.units(text)] == ["One two three four five.", "Six seven eight nine ten!", "One two three four five. Six seven eight nine ten!", "A single sentence of six words"]
+    assert [text[a:b] for a, b, _ in line_dedup.units(text)] == ["One two three four five.", "Six seven eight nine ten!", "One two three four five. Six seven eight nine ten!", "Too short.", "A single sentence of six words"]
 
 
 def test_passage_inside_a_line_is_cut(spark):
@@ -58,3 +58,13 @@ def test_short_sentences_go_between_repeated_neighbours(spark):
 def test_sentences_of_a_line_without_spaces(spark):
     rows = [(1, "这是第一句话。中间一句不同的话。"), (2, "这是第一句话。这里说的是别的事情。")]
     assert removed(spark, rows) == {1: [], 2: ["这是第一句话。"]}
+
+
+def test_long_runs_of_marks_end():
+    import time
+
+    began = time.time()
+    for text in ("." * 300000, "a" + "?!" * 200000 + "b. " * 3, ". " * 100000):
+        list(line_dedup.units(text))
+    assert time.time() - began < 10
+    assert [m for m in line_dedup._SENTENCE.findall("Yes... and no. End")] == ["Yes...", "and no.", "End"]
