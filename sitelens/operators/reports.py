@@ -89,9 +89,14 @@ def active_conflicts(crawls: DataFrame, requests: DataFrame) -> DataFrame:
 
     A group's crawl conflicts with that group and with crawls of the whole site; a site's with all.
     """
-    active = crawls.where(F.col("status").isin(*ACTIVE)).select("website_id", F.col("group_id").alias("g"), "crawl_id", "created_at")
-    met = requests.join(active, "website_id").where("group_id is null or g is null or g = group_id")
-    return met.groupBy("request_id").agg(F.max_by("crawl_id", F.struct("created_at", "crawl_id")).alias("crawl_id"))
+    active = crawls.where(F.col("status").isin(*ACTIVE)).select("website_id", F.col("group_id").alias("g"), F.struct("created_at", "crawl_id").alias("c"))
+    # the newest of each group, of those of the whole site, and of all; so a request meets one row of each
+    newest = active.groupBy("website_id", "g").agg(F.max("c").alias("c"))
+    own = newest.where("g is not null").select("website_id", F.col("g").alias("group_id"), F.col("c").alias("own"))
+    site = newest.groupBy("website_id").agg(F.max(F.when(F.col("g").isNull(), F.col("c"))).alias("site"), F.max("c").alias("any"))
+    met = requests.join(site, "website_id").join(own, ["website_id", "group_id"], "left")
+    best = F.when(F.col("group_id").isNull(), F.col("any")).otherwise(F.greatest("site", "own"))
+    return met.groupBy("request_id").agg(F.max(best)["crawl_id"].alias("crawl_id")).where("crawl_id is not null")
 
 
 def visible_projects(projects: DataFrame, members: DataFrame, user) -> DataFrame:

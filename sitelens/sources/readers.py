@@ -61,7 +61,9 @@ def validate_csv_urls(frame: DataFrame, url_column: str = "url") -> DataFrame:
     """One row: row_count, valid_count, invalid_samples (the first few in order), accepted, reason."""
     url = F.trim(F.col(url_column))
     valid = urls.is_http(url)
-    counts = frame.agg(F.count("*").alias("row_count"), F.count_if(valid).alias("valid_count"), F.count_if(F.coalesce(url.contains("\0"), F.lit(False))).alias("binary"), F.slice(F.sort_array(F.collect_set(F.when(~valid, F.substring(F.coalesce(url, F.lit("")), 1, SAMPLE_CHARS)))), 1, SAMPLES).alias("invalid_samples"))
+    counts = frame.agg(F.count("*").alias("row_count"), F.count_if(valid).alias("valid_count"), F.count_if(F.coalesce(url.contains("\0"), F.lit(False))).alias("binary"))
+    some = frame.where(~valid).select(F.substring(F.coalesce(url, F.lit("")), 1, SAMPLE_CHARS).alias("u")).distinct().orderBy("u").limit(SAMPLES)
+    counts = counts.join(some.agg(F.sort_array(F.collect_list("u")).alias("invalid_samples")))  # one row each
     share = (F.col("row_count") - F.col("valid_count")) / F.col("row_count")
     reason = F.when(F.col("row_count") == 0, "no rows").when(F.col("binary") > 0, "binary content").when(F.col("valid_count") == 0, "no valid URL").when(share > MAX_INVALID_SHARE, "too many invalid URLs")
     return counts.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("binary")

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import urls
+from .store import scratch
 
 MAX_URLS, MAX_SITEMAPS, MAX_BYTES = 50_000, 50, 50 << 20
 _ENTITY = re.compile(r"&(?:amp|lt|gt|quot|apos|#x[0-9a-fA-F]+|#\d+);")
@@ -71,40 +73,42 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
 def expand_tree(docs: DataFrame, root: str, max_urls: int = MAX_URLS, max_sitemaps: int = MAX_SITEMAPS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries (loc, lastmod, sitemap_url), errors (url, message) and one row of stats below ``root``.
 
-    Documents are visited once each, depth first in document order, ``max_sitemaps`` of them at most
-    (a limit of the sitemap reader itself); only their own index rows come to the driver. Entries
-    are distinct by loc in the order found, ``max_urls`` of them at most.
+    The tree is followed by joins, a level at a time; a document's place is the least of the ways to it (positions
+    from the root), which is depth first in document order, so ways around in circles never count. The first
+    ``max_sitemaps`` documents by place are read. Entries are distinct by loc in the order found, ``max_urls`` of them at most.
     """
     spark = docs.sparkSession
-    parsed = parse_sitemaps(docs).persist()
-    visited: dict[str, int] = {}
-    missing: list[tuple[str, str]] = []
-    truncated, todo = False, [root]
-    while todo:
-        url = todo.pop(0)
-        if url in visited:
-            continue
-        if len(visited) >= max_sitemaps:
-            truncated = True
+    parsed = _kept(parse_sitemaps(docs), "sitemap")
+    listed = parsed.where(f"kind = 'index' and loc is not null and pos < {MAX_URLS}").select(F.col("sitemap_url").alias("url"), F.col("loc"), "pos")
+    reached = spark.createDataFrame([(root, [])], "url string, way array<int>")
+    frontier = reached
+    while True:
+        below = frontier.join(listed, "url").select(F.col("loc").alias("url"), F.concat("way", F.array("pos")).alias("way"))
+        merged = _kept(reached.unionByName(below).groupBy("url").agg(F.min("way").alias("way")), "reached")
+        frontier = merged.join(reached, ["url", "way"], "left_anti")
+        if frontier.isEmpty():
             break
-        visited[url] = len(visited)
-        rows = parsed.where((F.col("sitemap_url") == url) & (F.col("kind") == "index")).orderBy("pos").select("loc").limit(MAX_URLS).collect()
-        todo = [r.loc for r in rows if r.loc] + todo
-        if not rows and parsed.where(F.col("sitemap_url") == url).isEmpty():
-            missing.append((url, "not found"))
-    order = spark.createDataFrame(list(visited.items()), "sitemap_url string, visit int")
-    reached = parsed.join(F.broadcast(order), "sitemap_url")
-    found = reached.where("kind = 'urlset' and loc is not null").groupBy("loc").agg(F.min(F.struct("visit", "pos", "lastmod", "sitemap_url")).alias("f"))
+        reached = merged
+    first = reached.orderBy("way").limit(max_sitemaps)
+    order = first.select(F.col("url").alias("sitemap_url"), F.row_number().over(Window.orderBy("way")).alias("visit"))  # max_sitemaps rows
+    met = parsed.join(F.broadcast(order), "sitemap_url")
+    found = met.where("kind = 'urlset' and loc is not null").groupBy("loc").agg(F.min(F.struct("visit", "pos", "lastmod", "sitemap_url")).alias("f"))
     found = found.select("loc", "f.lastmod", "f.sitemap_url", "f.visit", "f.pos")
     entries = found.orderBy("visit", "pos").limit(max_urls).select("loc", "lastmod", "sitemap_url")
-    errors = reached.where("error is not null").select(F.col("sitemap_url").alias("url"), F.col("error").alias("message"))
-    if missing:
-        errors = errors.unionByName(spark.createDataFrame(missing, "url string, message string"))
-    total = found.agg(F.count("*").alias("n"))
-    stats = total.select(F.least("n", F.lit(max_urls)).alias("total"), F.lit(len(visited)).alias("sitemap_count"), (F.lit(truncated) | (F.col("n") > max_urls)).alias("truncated"))
+    errors = met.where("error is not null").select(F.col("sitemap_url").alias("url"), F.col("error").alias("message"))
+    missing = order.join(parsed.select("sitemap_url").distinct(), "sitemap_url", "left_anti")
+    errors = errors.unionByName(missing.select(F.col("sitemap_url").alias("url"), F.lit("not found").alias("message")))
+    counts = found.agg(F.count("*").alias("n")).join(reached.agg(F.count("*").alias("sitemaps")))
+    stats = counts.select(F.least("n", F.lit(max_urls)).alias("total"), F.least("sitemaps", F.lit(max_sitemaps)).cast("int").alias("sitemap_count"), ((F.col("sitemaps") > max_sitemaps) | (F.col("n") > max_urls)).alias("truncated"))
     return entries, errors, stats
 
 
+def _kept(frame: DataFrame, name: str) -> DataFrame:
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def preview(docs: DataFrame, root: str, sample: int = 8) -> DataFrame:
     """One row: sample of normalised URLs, total, sitemap_count, truncated, error_count."""
     entries, errors, stats = expand_tree(docs, root)
