@@ -8,6 +8,7 @@ numbers the documents and stitches those that cross block borders.
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -29,21 +30,23 @@ BLOCK_BYTES = 4 << 20
 _encodings: dict = {}
 
 
-def _encoding(vocabulary: str):
-    if vocabulary not in _encodings:
+def _encoding(vocabulary):
+    """The worker's encoding of a broadcast (key, lines of a vocabulary file)."""
+    key, lines = vocabulary.value
+    if key not in _encodings:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[vocabulary] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[vocabulary]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+        _encodings.clear()
+        _encodings[key] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[key]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri("file://" + uri)
 
 
-def _write(folder: str, vocabulary: str, end_of_document: int):
+def _write(folder: str, vocabulary, end_of_document: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{uuid.uuid4().hex}.bin"  # of this attempt alone; files that no finished task names are not read
         store, path = _open(folder)
@@ -68,7 +71,12 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
     rows = wide(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(_write(folder, vocabulary, end_of_document), "file string, ordinal long, doc_id long"), "roster")
+    # the file is needed where the driver runs only; its size is that of a vocabulary
+    where, name = _open(vocabulary)
+    with where.open_input_stream(name) as source:
+        lines = source.read()
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.md5(lines).hexdigest(), lines))
+    return materialise(rows.mapInArrow(_write(folder, shared, end_of_document), "file string, ordinal long, doc_id long"), "roster")
 
 
 def _search(folder: str, end_of_document: int):

@@ -1,10 +1,12 @@
 import numpy as np
-
+import tiktoken
 from sitelens.llm import queries, token_count
+from tiktoken.load import load_tiktoken_bpe
 
 
 def test_counts_match_the_tokenizer(spark, sf, documents):
-    encoding = token_count._encoding(token_count.VOCABULARY)
+    ranks = load_tiktoken_bpe(token_count.VOCABULARY)
+    encoding = tiktoken.Encoding("own", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r.n_tokens for r in queries.op2_token_counts(spark, sf).collect()}
     assert got == {i: len(encoding.encode_ordinary(r.text or "")) for i, r in documents.items()}
 
