@@ -88,8 +88,23 @@ def schema_health(statuses: DataFrame) -> DataFrame:
     return statuses.agg(F.coalesce(F.round(100 * F.sum(F.col("n") * w) / F.sum("n")), F.lit(0.0)).cast("int").alias("health"))
 
 
-def crawl_metrics(snapshots: DataFrame, issues: DataFrame, link_checks: DataFrame) -> DataFrame:
-    """One row: pages scored, site score, critical pages, findings by severity, broken links."""
+def schema_metrics(entities: DataFrame, verdicts: DataFrame, most_types: int = 50) -> DataFrame:
+    """One row on a crawl's structured data, from entities (type, status) and verdicts (profile, status): entity_count,
+    status_counts, health, rich_summary and top_types, the most frequent ones. All lists are short by what they list."""
+    statuses = entities.groupBy("status").agg(F.count("*").alias("n"))
+    by_status = statuses.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entity_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("status_counts"))
+    rich = verdicts.groupBy("profile", "status").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("profile", "status", "n"))).alias("rich_summary"))
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("Unknown")).alias("type")
+    top = entities.groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(most_types)
+    types = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "type", "n"))).alias("t"))
+    types = types.select(F.transform("t", lambda x: F.struct(x["type"].alias("type"), x["n"].alias("n"))).alias("top_types"))
+    return by_status.join(schema_health(statuses)).join(rich).join(types)
+
+
+def crawl_metrics(snapshots: DataFrame, issues: DataFrame, link_checks: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """One row: pages scored, site score, critical pages, findings by severity, broken links; with ``schema``
+    (the row of ``schema_metrics``) a struct column of that name too."""
     by = issues.groupBy("severity").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("issues_by_severity"))
     broken = link_checks.agg(F.count_if(~F.col("ok")).alias("broken_links"))
-    return site_score(snapshots).join(by).join(broken)
+    out = site_score(snapshots).join(by).join(broken)
+    return out if schema is None else out.join(schema.select(F.struct(*schema.columns).alias("schema")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..catalog import VERSION
 from ..functions import structured_data
 from .artifacts import spread
 
@@ -262,6 +263,6 @@ def page_coverage(extracted: DataFrame, statuses: DataFrame, verdicts: DataFrame
 
 
 def to_rows(extracted: DataFrame, statuses: DataFrame, scores: DataFrame) -> DataFrame:
-    """Entity rows for storing; a blank type becomes Unknown."""
+    """Entity rows for storing, with the version of the rules they were judged by; a blank type becomes Unknown."""
     kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("Unknown")).alias("type")
-    return entities(extracted).join(statuses, KEY).join(scores, KEY).select(*KEY, kind, "format", "identity", "entity_hash", "properties", "status", F.col("confidence").cast("decimal(4,3)").alias("confidence"))
+    return entities(extracted).join(statuses, KEY).join(scores, KEY).select(*KEY, kind, "format", "identity", "entity_hash", "properties", "status", F.col("confidence").cast("decimal(4,3)").alias("confidence"), F.lit(VERSION).alias("rule_version"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import artifacts, checks, crosspage, history, structured
+from ..operators import artifacts, checks, crosspage, history, scoring, structured
 from ..sources import readers, store
 from ..streaming import progress
 from . import frames as f
-from .more import VOCABULARY, _marked
+from .more import _ENTITIES, _STATUS, _VERDICT, VOCABULARY, _marked, _scored
 from .registry import register
 
 SITE = "https://shop.example.com"
@@ -241,6 +241,31 @@ def _(spark, d):
     return structured.Vocabulary.load(types.unionByName(root), none).closure_df(spark)
 
 
+@register("udf_6_rule_version", f"SELECT 'finding' AS kind, '{catalog.VERSION}' AS rule_version, count(*) AS n FROM {FIELDS_SQL} WHERE title IS NULL UNION ALL SELECT 'entity', '{catalog.VERSION}', count(*) FROM {_ENTITIES}")
+def _(spark, d):
+    others = [c[0] for c in catalog.PAGE_CHECKS if c[0] != "meta.title.missing"]
+    found = _marked(spark, d)
+    rows = structured.to_rows(found, structured.status(found, structured.validate(found, VOCABULARY)), structured.confidence(found, VOCABULARY))
+    both = checks.run(extracted(spark, d), disabled=others).select(F.lit("finding").alias("kind"), "rule_version").unionByName(rows.select(F.lit("entity").alias("kind"), "rule_version"))
+    return both.groupBy("kind", "rule_version").agg(F.count("*").alias("n"))
+
+
+@register(
+    "agg_7_schema_block",
+    f"SELECT count(*) AS entity_count, count(*) FILTER (WHERE s = 'errors') AS errors, count(*) FILTER (WHERE s = 'warnings') AS warnings, CAST(round(100 * (0.7 * count(*) FILTER (WHERE s = 'warnings') + 0.2 * count(*) FILTER (WHERE s = 'errors')) / count(*)) AS INT) AS health,"
+    f" 'Product:eligible_with_warnings=' || count(*) FILTER (WHERE v <> 'ineligible') || '|Product:ineligible=' || count(*) FILTER (WHERE v = 'ineligible') AS rich, 'Product=' || count(*) AS types FROM (SELECT {_STATUS} AS s, {_VERDICT} AS v FROM {_ENTITIES})",
+)
+def _(spark, d):
+    found = _marked(spark, d)
+    statuses = structured.status(found, structured.validate(found, VOCABULARY))
+    schema = scoring.schema_metrics(found.select(*structured.KEY, "type").join(statuses, structured.KEY), structured.rich_results(found))
+    row = scoring.crawl_metrics(_scored(spark, d), f.issues(spark, d), f.link_checks(spark, d), schema)
+    s = F.col("schema")
+    told = lambda name, key: F.array_join(F.transform(s[name], lambda x: F.concat(key(x), F.lit("="), x["n"].cast("string"))), "|")
+    n = lambda k: F.coalesce(F.try_element_at(s["status_counts"], F.lit(k)), F.lit(0)).alias(k)
+    return row.select(s["entity_count"].alias("entity_count"), n("errors"), n("warnings"), s["health"].alias("health"), told("rich_summary", lambda x: F.concat(x["profile"], F.lit(":"), x["status"])).alias("rich"), told("top_types", lambda x: x["type"]).alias("types"))
+
+
 # --- what else had no rows of its own ---
 
 
