@@ -1,9 +1,10 @@
 """Benchmark decontamination by one Aho-Corasick automaton over normalised benchmark windows.
 
-A text is normalised to its words joined by single spaces, a window to its words between two
-spaces, so one scan of the text finds every window, each at word borders. Word numbers of the hits
-lead back to offsets in the original text. The automaton is built from at most ``block_bytes`` of
-windows; a larger benchmark is dealt into blocks of that bound, each scanned in turn.
+Texts and windows are normalised to words, and the automaton's symbols are numbers of the benchmark's
+words, so one scan of a text finds every window, each at word borders, and a window takes as many
+nodes as it has words. Word numbers of the hits lead back to offsets in the original text. The
+automaton is built from at most ``block_bytes`` of windows; a larger benchmark is dealt into blocks of
+that bound, and the hits of one block are written before the next one is read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -25,7 +27,10 @@ WINDOW = 13
 BLOCK_BYTES = 32 << 20
 
 _TABLE = bytes(0x20 if NON_WORD[LOWER[c]] else int(LOWER[c]) for c in range(256))
-_HITS = "struct<n_words: bigint, spans: array<struct<first: bigint, last: bigint, start: bigint, stop: bigint>>, items: array<string>>"
+#: A run of bytes that _TABLE keeps, as a pattern of characters.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_LISTS = {"spans": "array<struct<first: bigint, last: bigint, start: bigint, stop: bigint>>", "items": "array<string>"}
+_HITS = "struct<n_words: bigint, " + ", ".join(f"{k}: {t}" for k, t in _LISTS.items()) + ">"
 _SPAN = pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "stop")])
 _ARROW_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
 _automata: dict = {}
@@ -43,36 +48,34 @@ def _windows(size: int):
                 words = _words((text or "").encode())
                 for k in range(max(1, len(words) - size + 1) if words else 0):
                     items.append(item or "")
-                    windows.append(b" " + b" ".join(words[k : k + size]) + b" ")
+                    windows.append(b" ".join(words[k : k + size]))
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(windows, pa.binary())], ["item", "win"])
 
     return run
 
 
 def _automaton(shared):
-    """The worker's automaton of a broadcast block; None without windows."""
-    key = shared.value["key"]
-    if key not in _automata:
+    """The worker's (automaton, numbers of words) of a broadcast block; an automaton of None without windows."""
+    block = shared.value
+    if block["key"] not in _automata:
         _automata.clear()
-        made = ahocorasick.Automaton()
-        for number, (window, _) in enumerate(shared.value["windows"]):
-            made.add_word(window.decode("latin-1"), number)
-        if shared.value["windows"]:
+        made = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        symbols = block["symbols"].tolist()
+        for number, (a, b) in enumerate(pairwise(block["at"].tolist())):
+            made.add_word(tuple(symbols[a:b]), number)
+        if symbols:
             made.make_automaton()
-        _automata[key] = made if shared.value["windows"] else None
-    return _automata[key]
+        _automata[block["key"]] = made if symbols else None, {w: k for k, w in enumerate(block["words"], 1)}
+    return _automata[block["key"]]
 
 
-def _spans(text: bytes, line: str, found: list[tuple[int, int]]) -> list[dict]:
+def _spans(text: bytes, found: list[tuple[int, int]]) -> list[dict]:
     """Merged runs of hit words, with their code point offsets in the original text."""
-    blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
-    firsts = np.searchsorted(blanks, [a for a, _ in found])
-    lasts = np.searchsorted(blanks, [b for _, b in found]) - 1
     data = LOWER[np.frombuffer(text, np.uint8)]
     starts, ends, _ = bounds(data, np.array([0, len(data)]), NON_WORD)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     runs: list[list[int]] = []
-    for first, last in sorted(zip(firsts.tolist(), lasts.tolist())):
+    for first, last in sorted(found):
         if runs and first <= runs[-1][1] + 1:
             runs[-1][1] = max(runs[-1][1], last)
         else:
@@ -82,37 +85,44 @@ def _spans(text: bytes, line: str, found: list[tuple[int, int]]) -> list[dict]:
 
 def _scan(shared):
     def hits(texts: pa.Array) -> pa.Array:
-        machine, windows = _automaton(shared), shared.value["windows"]
+        (machine, numbers), block = _automaton(shared), shared.value
+        size, names = np.diff(block["at"]), block["items"]
         out = []
         for text in texts:
             raw = (text.as_py() or "").encode()
             words = _words(raw)
-            spans, items = [], set()
+            found, owners = [], set()
             if machine is not None and words:
-                line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-                found = []
-                for end, number in machine.iter(line):
-                    window, owners = windows[number]
-                    found.append((end - len(window) + 1, end))
-                    items.update(owners)
-                if found:
-                    spans = _spans(raw, line, found)
-            out.append({"n_words": len(words), "spans": spans, "items": sorted(items)})
+                for last, number in machine.iter(tuple([numbers.get(w, 0) for w in words])):
+                    found.append((last - int(size[number]) + 1, last))
+                    owners.update(block["owners"][block["owners_at"][number] : block["owners_at"][number + 1]].tolist())
+            out.append({"n_words": len(words), "spans": _spans(raw, found) if found else [], "items": sorted(names[k] for k in owners)})
         return pa.array(out, _ARROW_HITS)
 
     return F.arrow_udf(hits, _HITS)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int) -> Iterator:
-    """Broadcast blocks of (window, items), each of a checked size."""
+def _all_windows(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """The written table (win, items), and the number of blocks that it takes."""
     texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     windows = texts.mapInArrow(_windows(size), "item string, win binary").groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
     windows = materialise(windows, "windows")
     total = windows.agg(F.sum(F.octet_length("win") + 16 * F.size("items"))).first()[0] or 0
-    count = 1 + total // block_bytes
-    for block in range(count):
-        rows = windows.where(F.pmod(F.xxhash64("win"), F.lit(count)) == block).collect()
-        yield windows.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": [(bytes(r.win), r.items) for r in rows]})
+    return windows, 1 + total // block_bytes
+
+
+def _block(windows: DataFrame, block: int, blocks: int):
+    """The broadcast of a block, of a checked size: words and items once each, windows as numbers of these."""
+    words: dict[bytes, int] = {}
+    items: dict[str, int] = {}
+    symbols, at, owners, owners_at = [], [0], [], [0]
+    for row in windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block).collect():
+        symbols += [words.setdefault(w, len(words) + 1) for w in bytes(row.win).split()]
+        owners += [items.setdefault(i, len(items)) for i in row["items"]]
+        at.append(len(symbols))
+        owners_at.append(len(owners))
+    numbers = {k: np.array(v, np.int32) for k, v in (("symbols", symbols), ("at", at), ("owners", owners), ("owners_at", owners_at))}
+    return windows.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "words": list(words), "items": list(items), **numbers})
 
 
 def _n_hit(spans: Column) -> Column:
@@ -132,21 +142,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     benchmark hits nothing. A column of ``docs`` named as ``into`` is replaced.
     """
     docs = wide(docs)
-    blocks = list(_blocks(benchmark, item_col, item_text_col, size, block_bytes))
+    windows, blocks = _all_windows(benchmark, item_col, item_text_col, size, block_bytes)
     text = F.col(text_col).cast("string")
-    if len(blocks) == 1:
-        found = docs.withColumn(into, _scan(blocks[0])(text))
+    if blocks == 1:
+        found = docs.withColumn(into, _scan(_block(windows, 0, 1))(text))
     else:
-        key = F.md5(F.coalesce(text, F.lit("")))
-        scans = [docs.select(key.alias("k"), _scan(b)(text).alias("h")) for b in blocks]
-        rows = reduce(DataFrame.unionByName, [scans[0], *(s.where(F.size("h.spans") > 0) for s in scans[1:])])
-        merged = rows.groupBy("k").agg(
-            F.max("h.n_words").alias("n_words"),
+        parts = []
+        for number in range(blocks):
+            shared = _block(windows, number, blocks)
+            parts.append(materialise(docs.select(F.md5(text).alias("k"), _scan(shared)(text).alias("h")).where(F.size("h.spans") > 0), "hits"))
+            shared.destroy()
+        merged = reduce(DataFrame.unionByName, parts).groupBy("k").agg(
             F.array_distinct(F.flatten(F.collect_set("h.spans"))).alias("spans"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_set("h.items")))).alias("items"),
         )
-        merged = merged.select(F.col("k").alias("__k"), F.struct("n_words", "spans", "items").alias("__h"))
-        found = docs.withColumn("__k", key).join(merged, "__k").drop("__k").withColumn(into, F.col("__h")).drop("__h")
+        merged = merged.select(F.col("k").alias("__k"), F.struct("spans", "items").alias("__h"))
+        found = docs.withColumn("__k", F.md5(text)).join(merged, "__k", "left")
+        n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")
+        listed = [F.coalesce(F.col(f"__h.{k}"), F.array().cast(t)).alias(k) for k, t in _LISTS.items()]
+        found = found.withColumn(into, F.struct(n_words, *listed)).drop("__k", "__h")
     h = F.col(into)
     found = found.withColumn(into, h.withField("n_hit", _n_hit(h["spans"])))
     rule = (h["n_hit"] > 0) & (20 * h["n_hit"] >= h["n_words"])
