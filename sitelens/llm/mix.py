@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 NONE = "(none)"
-#: Bits of the seeded order that part a leaf into ranges, so that only one range has to be sorted.
-RANGE_BITS, ORDER_BITS = 12, 60
+#: A leaf's cut is looked for in ranges of the seeded order, each round parting the range that holds it by RANGE_BITS more.
+RANGE_BITS, ROUNDS, ORDER_BITS = 8, 3, 60
 
 
 def n_tokens(text: Column) -> Column:
@@ -78,18 +78,20 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     plan = plan.withColumn("__full", full).withColumn("__rest", F.greatest(F.lit(0), F.floor(F.col("budget") - F.col("__full") * F.col("tokens"))))
     plan = materialise(plan.select(*names, "__full", F.when(F.col("__full") < epochs, F.col("__rest")).otherwise(0).alias("__rest")), "plan")
 
-    h, shift = F.col("__h"), ORDER_BITS - RANGE_BITS
-    rows = slim.join(plan.where("__rest > 0"), names).withColumn("__h", _order(seed, F.col("__full"), F.col("__key"))).withColumn("__range", F.shiftright(h, shift))
-    rows = materialise(rows.select(*names, "__rest", "__key", "__n", "__h", "__range"), "ordered")
-    ranges = rows.groupBy(*names, "__rest", "__range").agg(F.sum("__n").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*names).orderBy("__range"))
-    ranges = ranges.withColumn("__before", upto - F.col("__n"))
-    # the last range that starts within the rest holds the cut
-    last = ranges.where("__before <= __rest").groupBy(*names).agg(F.max(F.struct("__range", "__before")).alias("__r")).select(*names, "__r.__range", "__r.__before")
-    inner = rows.join(last, [*names, "__range"])
+    inner = slim.join(plan.where("__rest > 0"), names).withColumn("__h", _order(seed, F.col("__full"), F.col("__key")))
+    inner = materialise(inner.select(*names, "__rest", "__key", "__n", "__h", F.lit(0).cast("long").alias("__before")), "ordered")
+    for bits in range(RANGE_BITS, RANGE_BITS * ROUNDS + 1, RANGE_BITS):
+        inner = inner.withColumn("__range", F.shiftright("__h", ORDER_BITS - bits))
+        ranges = inner.groupBy(*names, "__rest", "__before", "__range").agg(F.sum("__n").alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(*names).orderBy("__range"))
+        ranges = ranges.withColumn("__before", F.col("__before") + upto - F.col("__n"))
+        # the last range that starts within the rest holds the cut
+        last = ranges.where("__before <= __rest").groupBy(*names).agg(F.max(F.struct("__range", "__before")).alias("__r")).select(*names, "__r.__range", "__r.__before")
+        last = materialise(last, "last")
+        inner = materialise(inner.drop("__before").join(last, [*names, "__range"]).select(*names, "__rest", "__key", "__n", "__h", "__before"), "inner")
     upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*names).orderBy("__h", "__key"))
     cut = inner.withColumn("__upto", upto).where("__upto <= __rest").groupBy(*names).agg(F.max(F.struct("__h", "__key")).alias("__cut"))
-    start = F.struct((F.shiftleft(F.col("__range"), shift) - 1).alias("__h"), F.lit("").alias("__key"))
+    start = F.struct((F.shiftleft(F.col("__range"), ORDER_BITS - bits) - 1).alias("__h"), F.lit("\U0010ffff").alias("__key"))
     cuts = last.join(cut, names, "left").select(*names, F.coalesce("__cut", start).alias("__cut"))
     plan = materialise(plan.join(cuts, names, "left"), "cuts")
 
