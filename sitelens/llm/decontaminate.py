@@ -2,14 +2,17 @@
 
 Texts and windows are normalised to words, and the automaton's symbols are numbers of the benchmark's
 words, so one scan of a text finds every window, each at word borders, and a window takes as many
-nodes as it has words. Word numbers of the hits lead back to offsets in the original text. The
-automaton is built from at most ``block_bytes`` of windows; a larger benchmark is dealt into blocks of
+nodes as it has words. A node's branches are searched one by one and the root has one for each first
+word, so the automaton reads only stretches all of whose neighbouring words are (by a table of hashed
+pairs) neighbours in some window; no window can occur elsewhere. Word numbers of the hits lead back to
+offsets in the original text. The automaton is built from at most ``block_bytes`` of windows; a larger benchmark is dealt into blocks of
 that bound, and the hits of one block are written before the next one is read.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import pairwise
@@ -21,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, wide
-from .words import LOWER, NON_WORD, bounds
+from .words import LOWER, NON_WORD, bounds, hashes, pieces
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
+#: Bits of a slot in the table of pairs: 4 MB, of which a block of windows fills a tenth at most.
+PAIR_BITS = 22
 
 _TABLE = bytes(0x20 if NON_WORD[LOWER[c]] else int(LOWER[c]) for c in range(256))
 #: A run of bytes that _TABLE keeps, as a pattern of characters.
@@ -54,25 +59,47 @@ def _windows(size: int):
     return run
 
 
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """The slot of each two neighbouring words, given as hashes."""
+    return (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - PAIR_BITS)
+
+
 def _automaton(shared):
-    """The worker's (automaton, numbers of words) of a broadcast block; an automaton of None without windows."""
+    """The worker's (automaton, numbers of words, table of pairs, words of the shortest window) of a broadcast block;
+    an automaton of None without windows."""
     block = shared.value
     if block["key"] not in _automata:
         _automata.clear()
         made = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        symbols = block["symbols"].tolist()
-        for number, (a, b) in enumerate(pairwise(block["at"].tolist())):
+        symbols, at = block["symbols"].tolist(), block["at"]
+        for number, (a, b) in enumerate(pairwise(at.tolist())):
             made.add_word(tuple(symbols[a:b]), number)
+        near = np.zeros(1 << PAIR_BITS, bool)
         if symbols:
             made.make_automaton()
-        _automata[block["key"]] = made if symbols else None, {w: k for k, w in enumerate(block["words"], 1)}
+            inside = np.ones(len(symbols) - 1, bool)
+            inside[at[1:-1] - 1] = False
+            data = np.frombuffer(b" ".join(block["words"]), np.uint8)
+            starts, ends, _ = bounds(data, np.array([0, len(data)]), NON_WORD)
+            near[_pairs(hashes(data, starts, ends)[block["symbols"] - 1])[inside]] = True
+        numbers = {w: k for k, w in enumerate(block["words"], 1)}
+        _automata[block["key"]] = made if symbols else None, numbers, near, int(np.diff(at).min(initial=1 << 30))
     return _automata[block["key"]]
 
 
-def _spans(text: bytes, found: list[tuple[int, int]]) -> list[dict]:
-    """Merged runs of hit words, with their code point offsets in the original text."""
-    data = LOWER[np.frombuffer(text, np.uint8)]
-    starts, ends, _ = bounds(data, np.array([0, len(data)]), NON_WORD)
+def _stretches(words: np.ndarray, at: np.ndarray, near: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of at least ``least`` words of one row that are neighbours in windows."""
+    if not len(words):
+        return []
+    apart = ~near[_pairs(words)] if least > 1 else np.zeros(len(words) - 1, bool)
+    borders = at[(at > 0) & (at < len(words))]
+    apart[borders - 1] = True
+    gaps = np.concatenate([[-1], np.flatnonzero(apart), [len(words) - 1]])
+    return [(int(gaps[k]) + 1, int(gaps[k + 1]) + 1) for k in np.flatnonzero(np.diff(gaps) >= least)]
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: list[tuple[int, int]]) -> list[dict]:
+    """Merged runs of hit words, with their code point offsets in the text ``data``."""
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     runs: list[list[int]] = []
     for first, last in sorted(found):
@@ -85,18 +112,24 @@ def _spans(text: bytes, found: list[tuple[int, int]]) -> list[dict]:
 
 def _scan(shared):
     def hits(texts: pa.Array) -> pa.Array:
-        (machine, numbers), block = _automaton(shared), shared.value
+        (machine, numbers, near, least), block = _automaton(shared), shared.value
         size, names = np.diff(block["at"]), block["items"]
         out = []
-        for text in texts:
-            raw = (text.as_py() or "").encode()
-            words = _words(raw)
-            found, owners = [], set()
-            if machine is not None and words:
-                for last, number in machine.iter(tuple([numbers.get(w, 0) for w in words])):
-                    found.append((last - int(size[number]) + 1, last))
-                    owners.update(block["owners"][block["owners_at"][number] : block["owners_at"][number + 1]].tolist())
-            out.append({"n_words": len(words), "spans": _spans(raw, found) if found else [], "items": sorted(names[k] for k in owners)})
+        for begin, end, data, offsets in pieces(texts):
+            data = LOWER[data]
+            starts, ends, at = bounds(data, offsets, NON_WORD)
+            found, owners = defaultdict(list), defaultdict(set)
+            for a, b in _stretches(hashes(data, starts, ends), at, near, least) if machine is not None else ():
+                row = int(np.searchsorted(at, a, "right")) - 1
+                line = tuple(numbers.get(w, 0) for w in _words(data[starts[a] : ends[b - 1]].tobytes()))
+                for last, number in machine.iter(line):
+                    last += a - int(at[row])
+                    found[row].append((last - int(size[number]) + 1, last))
+                    owners[row].update(block["owners"][block["owners_at"][number] : block["owners_at"][number + 1]].tolist())
+            for row in range(end - begin):
+                own, text = slice(at[row], at[row + 1]), slice(offsets[row], offsets[row + 1])
+                spans = _spans(data[text], starts[own] - offsets[row], ends[own] - offsets[row], found[row]) if row in found else []
+                out.append({"n_words": int(at[row + 1] - at[row]), "spans": spans, "items": sorted(names[k] for k in owners[row]) if spans else []})
         return pa.array(out, _ARROW_HITS)
 
     return F.arrow_udf(hits, _HITS)
