@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from sitelens.llm import queries
 from tests.llm import test_decontaminate, test_mix, test_near_dup, test_shard
@@ -25,6 +27,24 @@ def test_stages_keep_the_columns_of_documents(spark, sf, odd):
             assert out.columns == docs.columns and out.count() <= frame.count()
 
 
+def test_stages_on_columns_with_names_of_their_own(spark, sf, odd):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and out.agg({"component_id": "min", "mixed": "max"}).first()[0] == 9
+    kept = Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, sf).collect())
+    assert kept[6] == 1 and kept[7] == 0 and kept[None] == 1 and {2, 3, 4} <= set(kept)
+
+
+def test_sharding_takes_every_row(spark, sf, odd):
+    out = corpus_pipeline.sharded(spark, odd, sf)
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect())
+    assert all(0 <= r.shard < 16 for r in rows) and {r["size"] for r in rows if r.doc_id in (2, 3)} == {1}
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert corpus_pipeline.sharded(spark, odd.limit(0), sf).collect() == []
+
+
 def test_text_in_no_known_language_goes(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
     texts = ["中国人民生活在这里，这是一个很长的句子", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem", "xqzkw vbgjt qqpz wxkj zzvq kjhg fdsx", "123 !!", None]
