@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lang_id, line_dedup, lm_score, mix, near_dup, shard, sql, token_count, top_k
+from . import decontaminate, hard_negatives, html_text, lang_id, line_dedup, lm_score, mix, near_dup, shard, sql, token_count, top_k
 from .common import table
 
 
@@ -77,7 +77,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), items, sha, h["contaminated"].alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label).drop("place")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate, op13_hard_negatives)}
 #: Not in SQL: units of sentences (1), tokens (2), main text (5), language profiles (6) and trigrams (8); tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dup": sql.near_dup(),
@@ -86,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_stupid_backoff": sql.BACKOFF,
     "op9_exact_top_k": sql.TOP_K,
     "op10_decontaminate": sql.decontaminate(),
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }
