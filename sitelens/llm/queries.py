@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, html_text, lang_id, line_dedup, lm_score, mix, near_dup, shard, sql, token_count, top_k
+from . import decontaminate, hard_negatives, html_text, lang_id, line_dedup, lm_score, mix, near_dup, periodic, shard, sql, token_count, top_k
 from .common import table
 
 
@@ -77,13 +77,33 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), items, sha, h["contaminated"].alias("contaminated"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumns({"w": F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"), "h": F.crc32(F.col("doc_id").cast("string"))})
+    docs = docs.withColumns({"n": F.size("w").cast("long"), "g": F.expr("h div 10")})
+    docs = docs.withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    # the words before a, then as often as it takes the p words from a on
+    words = F.expr("concat(slice(w, 1, int(a)), slice(flatten(array_repeat(slice(w, int(a) + 1, int(p)), int((n - a) div p) + 1)), 1, int(n - a)))")
+    docs = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs).select("doc_id", "periodic.*")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    start, length, period = -best["start"], best["length"], -best["period"]
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    return found.select(
+        *("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period")),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        *(F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")),
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label).drop("place")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate, op12_periodic_runs, op13_hard_negatives)}
 #: Not in SQL: units of sentences (1), tokens (2), main text (5), language profiles (6) and trigrams (8); tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dup": sql.near_dup(),
