@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, html_text, lang_id, line_dedup, lm_score, mix, near_dup, periodic, shard, sql, token_count, top_k
+from . import decontaminate, hard_negatives, html_text, lang_id, line_dedup, lm_score, mix, near_dup, packing, periodic, shard, sql, token_count, top_k
 from .common import table
 
 
@@ -77,6 +77,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), items, sha, h["contaminated"].alias("contaminated"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokens = packing.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(tokens).drop("part", "at")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumns({"w": F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"), "h": F.crc32(F.col("doc_id").cast("string"))})
@@ -103,7 +110,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label).drop("place")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate, op12_periodic_runs, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dup, op4_histogram_shards, op5_main_text, op6_language, op7_source_mix, op8_stupid_backoff, op8_stupid_backoff_3, op9_exact_top_k, op10_decontaminate, op11_packing, op12_periodic_runs, op13_hard_negatives)}
 #: Not in SQL: units of sentences (1), tokens (2), main text (5), language profiles (6) and trigrams (8); tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dup": sql.near_dup(),
