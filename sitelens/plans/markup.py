@@ -275,7 +275,7 @@ def _(spark, d):
     store.upsert_catalog(catalog.as_df(spark).withColumn("severity", F.lit("old")), path)
     store.upsert_catalog(catalog.as_df(spark), path)
     counts = f.issues(spark, d).groupBy("check_id").agg(F.count("*").alias("n"))
-    rows = spark.read.parquet(f"{path}/catalog").join(counts, "check_id", "left")
+    rows = store.facts(spark, path, "catalog").join(counts, "check_id", "left")
     return rows.select("check_id", "severity", F.col("weight").cast("int").alias("weight"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -292,13 +292,29 @@ def _(spark, d):
     return history.carry_children(carried, issues).groupBy("crawl_id", "page_id").agg(F.count("*").alias("n"))
 
 
-@register("str_7_ingest", f"SELECT k AS page_id, coalesce(title, '(none)') AS title, 9 AS crawl_id FROM {FIELDS_SQL}")
+#: Findings of the pages that need no link results.
+_OWN_FINDINGS = " UNION ALL ".join(f"SELECT k FROM {FIELDS_SQL} WHERE {w}" for c, w in _CASES if "broken" not in c and "chain" not in c)
+_BLOCK = "concat('<script type=\"application/ld+json\">{\"@type\": \"Product\"', CASE WHEN page_id % 4 = 0 THEN ', \"name\": \"n\", \"image\": \"https://e.org/i.png\"' ELSE '' END, '}</script>')"
+
+
+@register(
+    "str_7_ingest",
+    f"""SELECT k AS page_id, coalesce(title, '(none)') AS title, 9 AS crawl_id, coalesce(n, 0) AS n_findings, CASE k % 4 WHEN 0 THEN 'Product:warnings' WHEN 2 THEN 'Product:errors' ELSE '' END AS entities
+FROM {FIELDS_SQL} LEFT JOIN (SELECT k, count(*) AS n FROM ({_OWN_FINDINGS}) GROUP BY 1) USING (k)""",
+)
 def _(spark, d):
     path = store.scratch(spark, "ingest")
-    pages(spark, d).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    progress.ingest(stream, f"{path}/out", f"{path}/state", 9).awaitTermination()
-    return spark.read.parquet(f"{path}/out/artifacts").select("page_id", F.coalesce("title", F.lit("(none)")).alias("title"), F.col("crawl_id").cast("int").alias("crawl_id"))
+    made = pages(spark, d)
+    made = made.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.expr(f"replace(html, '<script>var x = 1</script>', {_BLOCK})")).otherwise(F.col("html")))
+    made.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(made.schema).parquet(f"{path}/in")
+    for k in range(2):  # the second run starts anew and replaces what is there
+        progress.ingest(stream, f"{path}/out", f"{path}/state{k}", 9, VOCABULARY).awaitTermination()
+    read = lambda name: store.facts(spark, f"{path}/out", name)
+    issues = read("issues").groupBy("page_id").agg(F.count("*").alias("n_findings"))
+    own = read("entities").groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "type", "status"))), ",").alias("entities"))
+    out = read("snapshots").select("page_id", "title", "crawl_id").join(issues, "page_id", "left").join(own, "page_id", "left")
+    return out.select("page_id", F.coalesce("title", F.lit("(none)")).alias("title"), F.col("crawl_id").cast("int").alias("crawl_id"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("entities", F.lit("")).alias("entities"))
 
 
 @register("str_8_trend_sink", "SELECT website_id, day, crawl_id FROM (SELECT o_custkey AS website_id, CAST(o_orderdate AS DATE) AS day, o_orderkey AS crawl_id, row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -308,4 +324,4 @@ def _(spark, d):
     rows.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
     progress.trend_sink(stream, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out/current").select("website_id", F.col("day").cast("date").alias("day"), "crawl_id")
+    return store.facts(spark, f"{path}/out", "trend").select("website_id", "day", "crawl_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import crosspage, history, reports, scoring, structured
-from ..sources import readers, robots, sitemap, store
+from ..sources import readers, robots, sitemap, store, versioned
 from ..streaming import progress
 from . import frames as f
 from .registry import _COUNTS, _events, _scores_sql, register
@@ -23,14 +23,28 @@ def _(spark, d):
     return readers.csv_urls(spark, path, "url")
 
 
-@register("snk_1_replace_snapshots", "SELECT crawl_id, page_id, CASE WHEN crawl_id = 1 THEN 'new' ELSE 'old' END AS v FROM (SELECT page_id % 3 AS crawl_id, page_id FROM pages)")
+_REDONE = "(page_id % 5 = 0 OR page_id % 7 = 0)"
+
+
+@register(
+    "snk_1_replace_snapshots",
+    f"""WITH p AS (SELECT page_id % 3 AS crawl_id, page_id, CASE WHEN page_id % 7 = 0 THEN 'third' WHEN page_id % 5 = 0 THEN 'second' ELSE 'first' END AS v FROM pages)
+SELECT 'snapshots' AS fact, crawl_id, page_id, v, CAST(1 AS BIGINT) AS n FROM p UNION ALL SELECT 'issues', crawl_id, page_id, v, CAST(2 AS BIGINT) FROM p WHERE NOT {_REDONE} UNION ALL SELECT 'entities', crawl_id, page_id, v, CAST(1 AS BIGINT) FROM p WHERE NOT {_REDONE} OR page_id % 2 = 0""",
+)
 def _(spark, d):
+    """Every page once, then a fifth, then a seventh of them again, whose issues are mended and of which every other one lost its
+    entity; compacted in between."""
     path = store.scratch(spark, "facts")
-    rows = f.table(spark, d, "pages").select((F.col("page_id") % 3).alias("crawl_id"), "page_id")
-    for v, part in (("old", rows), ("new", rows.where("crawl_id = 1"))):
+    rows = f.table(spark, d, "pages").select((F.col("page_id") % 3).cast("long").alias("crawl_id"), "page_id")
+    for v, part in (("first", rows), ("second", rows.where("page_id % 5 = 0")), ("third", rows.where("page_id % 7 = 0"))):
         part = part.withColumn("v", F.lit(v))
-        store.replace_snapshots(part, part, part, path)
-    return spark.read.parquet(f"{path}/snapshots").select(F.col("crawl_id").cast("long").alias("crawl_id"), "page_id", "v")
+        issues = part.withColumn("check_id", F.explode(F.array(F.lit("a"), F.lit("b")))).where(F.lit(v == "first"))
+        store.replace_snapshots(part, issues, part.where(F.lit(v == "first") | (F.col("page_id") % 2 == 0)), path, v)
+        store.replace_snapshots(part.withColumn("v", F.lit("again")), issues, part, path, v)  # the same write once more is none
+        if v == "second":
+            versioned.compact(spark, path)
+    each = [store.facts(spark, path, name).groupBy("crawl_id", "page_id", "v").agg(F.count("*").alias("n")).withColumn("fact", F.lit(name)) for name in ("snapshots", "issues", "entities")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("fact", "crawl_id", "page_id", "v", "n")
 
 
 @register("snk_2_append_changes", f"SELECT change_type, count(*) AS n FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'schema_added' WHEN 'N' THEN 'schema_modified' ELSE 'schema_removed' END AS change_type FROM lineitem) GROUP BY 1")

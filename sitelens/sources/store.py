@@ -6,10 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versioned
 from .readers import first_per
 
 
@@ -19,10 +19,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def replace_snapshots(snapshots: DataFrame, issues: DataFrame, entities: DataFrame, path: str) -> None:
-    """Write a crawl's facts so that running it again leaves one copy: partitions of the crawls present are replaced."""
-    for name, frame in (("snapshots", snapshots), ("issues", issues), ("entities", entities)):
-        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(f"{path}/{name}")
+def replace_snapshots(snapshots: DataFrame, issues: DataFrame, entities: DataFrame, path: str, write: str | None = None) -> int:
+    """Replace the (crawl_id, page_id) of ``snapshots``, with their issues and entities, in one step; read by ``facts``.
+
+    Other pages of the crawl stay. Issues and entities of a page that has none any more go. Returns the version; a ``write``
+    of a name that was committed before is left out, so a batch that runs again changes nothing.
+    """
+    return versioned.replace(path, {"snapshots": snapshots, "issues": issues, "entities": entities}, snapshots.select("crawl_id", "page_id"), write)
+
+
+def facts(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The current snapshots, issues or entities; None before the first write."""
+    return versioned.read(spark, path, name)
 
 
 def replaced(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("crawl_id", "page_id")) -> DataFrame:
@@ -41,15 +49,8 @@ def append_changes(frame: DataFrame, path: str) -> None:
 
 
 def upsert_catalog(rows: DataFrame, path: str, key: str = "check_id") -> None:
-    """The catalog as a table at ``path``/catalog: ``rows`` replace those of their id, others stay."""
-    spark = rows.sparkSession
-    try:
-        rows = replaced(spark.read.schema(rows.schema).parquet(f"{path}/catalog"), rows, [key])
-    except AnalysisException as e:  # the first write finds no table
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    rows.write.mode("overwrite").parquet(f"{path}/staged")
-    spark.read.parquet(f"{path}/staged").write.mode("overwrite").parquet(f"{path}/catalog")
+    """The catalog as a table at ``path``: ``rows`` replace those of their id, others stay; read by ``facts(..., "catalog")``."""
+    versioned.replace(path, {"catalog": rows}, rows.select(key))
 
 
 def insert_link_checks(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("crawl_id", "url")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..operators import artifacts, checks, structured
+from ..sources import readers, store, versioned
+
 
 def progress(events: DataFrame) -> DataFrame:
     """(crawl_id, crawled, unchanged, failed, settled, total, percent, current_url, elapsed_s, eta_s).
@@ -83,36 +87,43 @@ def progress_feed(events: DataFrame) -> DataFrame:
     return events.withColumn("settled", F.count("*").over(upto))
 
 
-def ingest(pages: DataFrame, out: str, checkpoint: str, crawl_id) -> StreamingQuery:
-    """A stream of fetched pages to artifacts and findings; a batch that runs again replaces its own files."""
-    from ..operators import artifacts, checks
+def _write(checkpoint: str, number: int) -> str:
+    """The name of a batch's write: of one stream and batch, so that a batch that runs again is left out."""
+    return f"{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}-{number}"
+
+
+def ingest(pages: DataFrame, out: str, checkpoint: str, crawl_id, vocabulary: structured.Vocabulary | None = None) -> StreamingQuery:
+    """A stream of fetched pages to snapshots, findings and, with a vocabulary, entities at ``out``; ``store.facts`` reads them.
+
+    A page that comes again, in a later batch or another stream, replaces its snapshot, findings and entities in one step; of rows
+    that repeat a page within a batch one stays. A batch that runs again changes nothing.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
+        frame = frame.dropDuplicates(["page_id"]).persist()
         found = artifacts.extract(frame).persist()
-        tag = lambda x: x.withColumn("crawl_id", F.lit(crawl_id)).withColumn("batch", F.lit(number))
-        for name, rows in (("artifacts", found), ("issues", checks.run(found))):
-            tag(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id", "batch").parquet(f"{out}/{name}")
-        found.unpersist()
+        tag = lambda x: x.withColumn("crawl_id", F.lit(crawl_id))
+        marked = structured.extract(frame if vocabulary else frame.limit(0)).persist()
+        known = vocabulary or structured.Vocabulary({}, {})
+        own = structured.entities(marked)
+        entities = structured.to_rows(own, structured.status(own, structured.validate(own, known)), structured.confidence(own, known))
+        store.replace_snapshots(tag(found), tag(checks.run(found)), tag(entities), out, _write(checkpoint, number))
+        for x in (marked, found, frame):
+            x.unpersist()
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def trend_sink(finished: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """A stream of finished crawls (website_id, day, finished_at, crawl_id, score) to one row a site and day, the last crawl's."""
-    from ..sources.readers import first_per
+    """A stream of finished crawls (website_id, day, finished_at, crawl_id, score) to the table ``trend`` at ``path`` with one row a
+    site and day, the last crawl's; ``store.facts`` reads it."""
 
     def batch(frame: DataFrame, number: int) -> None:
-        spark = frame.sparkSession
-        days = [r.day for r in frame.select("day").distinct().collect()]
-        old = f"{path}/current"
-        try:
-            kept = spark.read.schema(frame.schema).parquet(old).where(F.col("day").isin(days))
-            frame = frame.unionByName(kept)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        best = first_per(frame, ["website_id", "day"], F.desc("finished_at"), F.desc("crawl_id"))
-        best.write.mode("overwrite").parquet(f"{path}/staged")
-        spark.read.parquet(f"{path}/staged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(old)
+        keys = frame.select("website_id", "day").distinct()
+        kept = store.facts(frame.sparkSession, path, "trend")
+        if kept is not None:
+            frame = frame.unionByName(kept.join(keys, ["website_id", "day"], "left_semi").select(*frame.columns))
+        best = readers.first_per(frame, ["website_id", "day"], F.desc("finished_at"), F.desc("crawl_id"))
+        versioned.replace(path, {"trend": best}, keys, _write(checkpoint, number))
 
     return finished.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

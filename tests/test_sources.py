@@ -1,8 +1,9 @@
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 from sitelens.plans import more, registry  # noqa: F401
-from sitelens.sources import readers, robots, sitemap, store
+from sitelens.sources import readers, robots, sitemap, store, versioned
 
 ROBOTS = """User-agent: *
 Disallow: /private
@@ -92,11 +93,6 @@ def test_seeds(spark):
 
 def test_store(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "crawl_id int, page_id int, v string")
-    for v in ("old", "new"):
-        store.replace_snapshots(rows((1, 1, v), (1, 2, v)), rows((1, 1, v)), rows((1, 1, v)), str(tmp_path))
-    store.replace_snapshots(rows((2, 1, "x")), rows((2, 1, "x")), rows((2, 1, "x")), str(tmp_path))
-    got = spark.read.parquet(str(tmp_path / "snapshots")).orderBy("crawl_id", "page_id").select("crawl_id", "page_id", "v").collect()
-    assert [tuple(r) for r in got] == [(1, 1, "new"), (1, 2, "new"), (2, 1, "x")]
     assert store.replaced(rows((1, 1, "a"), (1, 2, "a")), rows((1, 2, "b"))).count() == 2
     store.append_changes(rows((1, 1, "a")), str(tmp_path / "changes"))
     store.append_changes(rows((1, 1, "b")), str(tmp_path / "changes"))
@@ -108,3 +104,43 @@ def test_store(spark, tmp_path):
     assert store.archive_bodies(spark.createDataFrame([("x",), ("x",), (None,)], "html string")).count() == 1
     gone = store.remove_group({"crawls": rows((1, 1, "a")).withColumn("group_id", F.lit("g")), "issues": rows((1, 1, "a"), (2, 1, "a")), "pages": spark.range(1)}, "g")
     assert gone["crawls"].count() == 0 and gone["issues"].count() == 1 and gone["pages"].count() == 1
+
+
+def _facts(spark, path):
+    return {name: None if (x := store.facts(spark, path, name)) is None else sorted((r.crawl_id, r.page_id, r.v) for r in x.collect()) for name in ("snapshots", "issues", "entities")}
+
+
+def test_pages_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "crawl_id int, page_id int, v string")
+    assert _facts(spark, path) == {"snapshots": None, "issues": None, "entities": None}
+    first = [(1, 10, "a"), (1, 11, "a"), (2, 10, "a"), (None, 10, "a")]
+    store.replace_snapshots(rows(*first), rows(*first, *first), rows(*first[:2]), path)
+    assert store.replace_snapshots(rows((1, 10, "b"), (None, 10, "b")), rows(), rows((1, 10, "b")), path, "second") == 1
+    assert store.replace_snapshots(rows((1, 11, "x")), rows(), rows(), path, "second") == 1  # of a name that was written: left out
+    key = lambda r: (str(r[0]), r[1], r[2])
+    want = {"snapshots": [(1, 10, "b"), (1, 11, "a"), (2, 10, "a"), (None, 10, "a"), (None, 10, "b")], "issues": sorted([(1, 11, "a"), (2, 10, "a"), (None, 10, "a")] * 2, key=key), "entities": [(1, 10, "b"), (1, 11, "a")]}
+    now = lambda: {n: sorted(((r.crawl_id, r.page_id, r.v) for r in store.facts(spark, path, n).collect()), key=key) for n in want}
+    assert now() == {n: sorted(v, key=key) for n, v in want.items()}
+    assert versioned.compact(spark, path) == 2 and len(versioned.commits(spark, path)) == 1
+    assert now() == {n: sorted(v, key=key) for n, v in want.items()}
+    assert versioned.vacuum(spark, path) == 0 and versioned.vacuum(spark, path, -60) == 8 and now() == {n: sorted(v, key=key) for n, v in want.items()}
+    store.replace_snapshots(rows((2, 10, "c")), rows(), rows((2, 10, "c")), path)
+    assert (2, 10, "c") in now()["snapshots"] and len(now()["issues"]) == 4 and len(now()["entities"]) == 3
+
+
+def test_a_write_that_breaks_off_is_never_seen(spark, tmp_path):
+    path = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "crawl_id int, page_id int, v string")
+    old = rows((1, 1, "old"), (1, 2, "old"))
+    store.replace_snapshots(old, old, old, path)
+    before = _facts(spark, path)
+    new = rows((1, 1, "new"))
+    with pytest.raises(Exception, match="broken"):  # between two tables
+        store.replace_snapshots(new, new.withColumn("v", F.raise_error(F.lit("broken"))), new, path, "retried")
+    assert _facts(spark, path) == before
+    versioned.stage(spark, path, {"snapshots": new, "issues": new, "entities": new}, new.select("crawl_id", "page_id"), "retried")  # before the commit
+    (tmp_path / "commits" / "000000000001" / "_temporary").mkdir(parents=True)  # during it
+    assert _facts(spark, path) == before
+    assert store.replace_snapshots(new, new, new, path, "retried") == 2
+    assert _facts(spark, path) == {n: [(1, 1, "new"), (1, 2, "old")] for n in before}
