@@ -10,57 +10,107 @@ padding is needed. Only the histogram, of at most a row a length, comes to the d
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from .common import materialise, wide
 from .token_count import _open
 
 WINDOW, STEPS, END = 4096, 128, 2
-#: Words whose ids a worker remembers; they are forgotten together when there are more.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a worker remembers; they are forgotten together when there are more.
+WORDS, PARTS = 400_000, 1_000_000
+#: Characters of texts that are encoded together; a longer single text makes a longer piece.
+TOGETHER = 1 << 20
 #: Sequences of one block of the prefix scan over what is free.
 BLOCK = 4096
 
 _worker: dict = {}
+#: An id that no vocabulary has, between the ids of two words.
+_NONE = (1 << 32) - 1
+_MARK = np.array([_NONE], "<u4").tobytes()
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers, each distinct word encoded once.
+    """Ids of texts as little-endian 32-bit numbers, each distinct part of a word encoded once.
 
-    For vocabularies that never join text across white space: what stands between white space is encoded on its own.
+    For vocabularies that never join text across white space: what stands between white space is encoded on its own. Where
+    the file names a pattern of parts and a mark of their ends, words are taken apart by it, and many parts are encoded at once.
     """
 
     def __init__(self, lines: str) -> None:
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_str(lines), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_str(lines), {}, {" ": _MARK}
+        told = json.loads(lines)
+        self.added = [t["content"] for t in told["added_tokens"]]
+        suffix = told["model"].get("end_of_word_suffix")
+        found = re.findall(r'"type": ?"Split", ?"pattern": ?\{"Regex": ?("(?:[^"\\]|\\.)*")\}, ?"behavior": ?"Removed", ?"invert": ?true', json.dumps(told["pre_tokenizer"]))
+        self.pattern = regex.compile(json.loads(found[0]) + "| ") if suffix and len(found) == 1 else None
+        if self.pattern:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            whole = len(stops) == len(some) and stops[-1] == len(ids)
+            self.parts.update(zip(some, map(np.ndarray.tobytes, np.split(ids, stops[:-1])) if whole else self._one_by_one(some)))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > WORDS:
             self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for at in range(0, len(fresh), 1000):
-            part = fresh[at : at + 1000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            fresh = words
+        if len(self.parts) > PARTS:
+            self.parts = {" ": _MARK}
+        fresh = list(fresh)
+        texts = b" ".join(fresh).decode().split(" ")
+        odd = [k for k, t in enumerate(texts) if self.pattern is None or not t.isprintable()]
+        odd += [k for added in self.added if added in "".join(texts) for k, t in enumerate(texts) if added in t]
+        for k, ids in zip(odd, self._one_by_one([texts[k] for k in odd])):
+            self.known[fresh[k]] = ids
+        fresh = [w for w in fresh if w not in self.known] if odd else fresh
+        if fresh:
+            # all words as one text, a space between two of them, which is a part of its own
+            parts = self.pattern.findall(self.tokenizer.normalizer.normalize_str(b" ".join(fresh).decode()))
+            self._learn_parts(list(set(parts).difference(self.parts)))
+            ids = b"".join(map(self.parts.__getitem__, parts)) + _MARK
+            stops = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == _NONE)).tolist()
+            self.known.update(zip(fresh, [ids[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that no text before had are learnt together."""
+        words = [t.encode().split() for t in texts]
+        distinct = set().union(*words)
+        self.learn(distinct)
+        near = {w: self.known[w] for w in distinct}  # small enough to stay in the processor's cache
+        return [b"".join(map(near.__getitem__, own)) for own in words]
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    some, size = [], 0
+    for k, text in enumerate(texts, 1):
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size > TOGETHER or k == len(texts):
+            yield from encoder.encode(some)
+            some, size = [], 0
 
 
 _TOKENS = "part int, at long, doc_id long, n_tokens long, ids binary, whole array<long>, whole_before long, rest int, rest_crc long, bin int, ordinal long"
@@ -90,9 +140,8 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + last
-                n = len(ids) // 4
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(encoder, batch.column(1))):
+                ids, n = ids + last, len(ids) // 4 + 1
                 count, rest = divmod(n, window)
                 whole = [zlib.crc32(ids[4 * window * k : 4 * window * (k + 1)]) for k in range(count)]
                 b = -(-rest // unit)
