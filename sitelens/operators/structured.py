@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,26 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..catalog import VERSION
 from ..functions import structured_data
 from .artifacts import spread
+from .vocabulary import ENUMERATIONS, Vocabulary
 
 _NODE = "struct<node: string, type: string, types: array<string>, format: string>"
 _VALUE = "struct<node: string, property: string, kind: string, value: string, value_types: array<string>>"
 ENTITY = f"page_id bigint, pos int, id string, type string, types array<string>, format string, properties string, identity string, entity_hash string, location string, error string, nodes array<{_NODE}>, prop_values array<{_VALUE}>"
 KEY = ["page_id", "pos"]
 
-#: Properties that any type may have; types that are checked by form; types wanted once a page.
+#: Properties that any type may have; types wanted once a page.
 GLOBAL = ["additionalType", "identifier", "sameAs", "url", "name", "description", "image", "alternateName", "mainEntityOfPage", "potentialAction", "subjectOf"]
-SCALARS = ["Text", "URL", "Date", "DateTime", "Time", "Number", "Integer", "Boolean"]
 SINGLETONS = ["WebSite", "Organization", "BreadcrumbList", "WebPage"]
-DEPRECATED = ["reviews", "itemreviewed"]
-#: Members of the enumerations that property values are checked against.
-ENUMERATIONS = {
-    "ItemAvailability": "InStock OutOfStock PreOrder PreSale BackOrder Discontinued InStoreOnly LimitedAvailability OnlineOnly SoldOut".split(),
-    "OfferItemCondition": "NewCondition UsedCondition RefurbishedCondition DamagedCondition".split(),
-    "EventStatusType": "EventScheduled EventCancelled EventMovedOnline EventPostponed EventRescheduled".split(),
-    "EventAttendanceModeEnumeration": "OfflineEventAttendanceMode OnlineEventAttendanceMode MixedEventAttendanceMode".split(),
-    "ItemListOrderType": "ItemListOrderAscending ItemListOrderDescending ItemListUnordered".split(),
-    "DayOfWeek": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday PublicHolidays".split(),
-}
 #: Rich results, the types they apply to, required and recommended properties.
 PROFILES = [
     ("Article", "Article NewsArticle BlogPosting", "headline", "image datePublished dateModified author publisher"),
@@ -83,46 +73,6 @@ def parse_errors(extracted: DataFrame) -> DataFrame:
     return extracted.where("error is not null").select("page_id", "location", "error")
 
 
-class Vocabulary:
-    """Types with their parents and the properties they define.
-
-    ``types`` maps a type to its parents, ``properties`` a (type, property) to the expected types.
-    It is reference data of bounded size, so closures are made on the driver and sent with the plan.
-    """
-
-    def __init__(self, types: Mapping[str, Sequence[str]], properties: Mapping[tuple[str, str], Sequence[str]]) -> None:
-        self.types, self.properties = dict(types), dict(properties)
-
-    @classmethod
-    def load(cls, types: DataFrame, properties: DataFrame) -> Vocabulary:
-        """From tables (type, parents array) and (type, property, expected array)."""
-        return cls({r.type: r.parents or [] for r in types.collect()}, {(r.type, r.property): r.expected for r in properties.collect()})
-
-    def ancestors(self, name: str) -> list[str]:
-        out, todo = [], [name]
-        while todo:
-            one = todo.pop(0)
-            if one not in out:
-                out.append(one)
-                todo = [*self.types.get(one, []), *todo]
-        return out
-
-    def allowed(self, name: str) -> dict[str, list[str]]:
-        """All properties of a type, an own definition before an inherited one."""
-        out: dict[str, list[str]] = {}
-        for t in self.ancestors(name):
-            for (owner, prop), expected in self.properties.items():
-                if owner == t:
-                    out.setdefault(prop, list(expected))
-        return out
-
-    def closure_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t, a) for t in self.types for a in self.ancestors(t)], "type string, ancestor string")
-
-    def allowed_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t, p, e) for t in self.types for p, e in self.allowed(t).items()] or [("", "", [])], "known string, property string, expected array<string>")
-
-
 def profiles_df(spark: SparkSession, disabled: Iterable[str] = ()) -> DataFrame:
     """(profile, type, property, required), a row for each combination."""
     off = set(disabled)
@@ -130,8 +80,12 @@ def profiles_df(spark: SparkSession, disabled: Iterable[str] = ()) -> DataFrame:
     return spark.createDataFrame(rows, "profile string, type string, property string, required boolean")
 
 
-def _matches(vocabulary: Vocabulary) -> Column:
-    """Whether a value row satisfies one of its expected types."""
+_BARE = r"(?i)^https?://schema\.org/"
+
+
+def _matches() -> Column:
+    """Whether a value row satisfies one of its expected types: by form, as a member of an enumeration (``member_of``), or as an
+    entity whose types lie below (``is_a``)."""
     v, kind = F.col("value"), F.col("kind")
     text = kind == "text"
     forms = {
@@ -144,13 +98,11 @@ def _matches(vocabulary: Vocabulary) -> Column:
         "Integer": kind.isin("number", "text") & F.trim(v).rlike(r"^-?\d+$"),
         "Boolean": (kind == "boolean") | text & F.trim(v).rlike(r"(?i)^(true|false|https?://schema\.org/(true|false))$"),
     }
-    forms |= {name: text & F.regexp_replace(v, r"(?i)^https?://schema\.org/", "").isin(members) for name, members in ENUMERATIONS.items()}
-    pairs = [x for t in vocabulary.types for x in (F.lit(t), F.array(*map(F.lit, vocabulary.ancestors(t))))]
-    above = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.array(F.lit("")))
 
     def one(expected: Column) -> Column:
-        inner = F.exists("value_types", lambda t: (t == expected) | F.coalesce(F.array_contains(F.element_at(above, t), expected), F.lit(False)))
+        inner = F.array_contains("value_types", expected) | F.coalesce(F.array_contains("is_a", expected), F.lit(False))
         out = F.when(kind == "entity", inner).when(kind == "ref", True).otherwise(text & v.rlike(r"(?i)^https?://[^/?#\s]+"))
+        out = F.when(F.array_contains("enumerated", expected), text & F.coalesce(F.array_contains("member_of", expected), F.lit(False))).otherwise(out)
         for name, test in forms.items():
             out = F.when(expected == name, test).otherwise(out)
         return F.coalesce(out, F.lit(False))
@@ -191,11 +143,31 @@ def _expected(extracted: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:
     return rows.join(held, [*KEY, "property"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
+def _judged(extracted: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their first known type, and values with what their type says of the property.
+
+    What stands inside a property that its type doesn't know is not judged, and left out of both.
+    """
+    spark = extracted.sparkSession
+    known = F.get(F.array_intersect("n.types", vocabulary.names(spark)), 0)
+    nodes = extracted.select(*KEY, F.explode("nodes").alias("n")).select(*KEY, "n.node", "n.types", "n.type", "n.format", known.alias("known")).withColumn("entity_type", F.coalesce("known", "type"))
+    values = extracted.select(*KEY, F.posexplode("prop_values").alias("at", "v")).select(*KEY, "at", "v.*").join(nodes.select(*KEY, "node", "known", "entity_type"), [*KEY, "node"])
+    allowed = vocabulary.allowed_df(spark)
+    thing = allowed.where("known = 'Thing'").select("property", F.col("expected").alias("of_thing"))
+    met = values.join(allowed, ["known", "property"], "left").join(thing, "property", "left").withColumn("is_global", F.col("property").isin(GLOBAL))
+    met = met.withColumn("undefined", F.col("known").isNotNull() & F.col("expected").isNull() & ~F.col("is_global"))
+    inside = met.where("undefined and kind = 'entity'").groupBy(*KEY).agg(F.collect_set(F.concat("node", F.lit("/"), "property", F.lit("["))).alias("closed"))
+    judged = ~F.coalesce(F.exists("closed", lambda c: F.startswith("node", c)), F.lit(False))
+    return tuple(x.join(inside, KEY, "left").where(judged).drop("closed") for x in (nodes, met))
+
+
 def validate(extracted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(page_id, pos, check_id, severity, status, entity_type, property) of every finding, nested entities included."""
+    """(page_id, pos, check_id, severity, status, entity_type, property) of every finding, nested entities included.
+
+    Entities inside a property that its type doesn't know are not judged.
+    """
     spark = extracted.sparkSession
-    known = F.get(F.filter("n.types", lambda t: t.isin(*vocabulary.types)), 0)
-    nodes = extracted.select(*KEY, F.explode("nodes").alias("n")).select(*KEY, "n.node", "n.types", "n.type", known.alias("known")).withColumn("entity_type", F.coalesce("known", "type"))
+    nodes, met = _judged(extracted, vocabulary)
     named = lambda middle, prop: F.concat(F.lit("schema."), F.lower("entity_type"), F.lit(f".{middle}."), F.col(prop))
 
     def rows(frame: DataFrame, check: Column, severity: str, status: str, prop: str | None = "property") -> DataFrame:
@@ -203,15 +175,17 @@ def validate(extracted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     untyped = rows(nodes.where(F.size("types") == 0), F.lit("schema.untyped"), "low", "warning", None)
     unknown = rows(nodes.where((F.size("types") > 0) & F.col("known").isNull()), F.lit("schema.unknown_type"), "low", "warning", None)
-    values = extracted.select(*KEY, F.explode("prop_values").alias("v")).select(*KEY, "v.*").join(nodes.select(*KEY, "node", "known", "entity_type"), [*KEY, "node"])
-    allowed = F.broadcast(vocabulary.allowed_df(spark))
-    thing = F.broadcast(vocabulary.allowed_df(spark).where("known = 'Thing'").select("property", F.col("expected").alias("of_thing")))
-    met = values.join(allowed, ["known", "property"], "left").join(thing, "property", "left").withColumn("is_global", F.col("property").isin(GLOBAL))
-    by_property = met.select(*KEY, "node", "entity_type", "property", "known", "is_global", F.col("expected").isNotNull().alias("defined")).distinct()
-    old = rows(by_property.where(F.col("property").isin(DEPRECATED)), named("deprecated", "property"), "low", "warning")
-    undefined = rows(by_property.where("known is not null and not defined and not is_global"), named("invalid_property", "property"), "low", "warning")
+    by_property = met.select(*KEY, "node", "entity_type", "property", "undefined").distinct()
+    old = rows(by_property.where(F.array_contains(vocabulary.superseded(spark), F.col("property"))), named("deprecated", "property"), "low", "warning")
+    undefined = rows(by_property.where("undefined"), named("invalid_property", "property"), "low", "warning")
+
     typed = met.withColumn("expected", F.coalesce("expected", F.when(F.col("is_global"), F.col("of_thing")))).where("expected is not null and kind <> 'none'")
-    wrong = rows(typed.where(~_matches(vocabulary)), named("type", "property"), "medium", "fail")
+    below = typed.where("kind = 'entity'").select(*KEY, "at", F.explode("value_types").alias("type")).join(vocabulary.closure_df(spark), "type").groupBy(*KEY, "at").agg(F.collect_set("ancestor").alias("is_a"))
+    members = vocabulary.members_df(spark).groupBy(F.col("member").alias("bare")).agg(F.collect_set("enumeration").alias("member_of"))
+    enumerated = vocabulary.members_df(spark).agg(F.collect_set("enumeration")).scalar()
+    typed = typed.withColumns({"bare": F.regexp_replace("value", _BARE, ""), "enumerated": enumerated}).join(below, [*KEY, "at"], "left").join(members, "bare", "left")
+    wrong = rows(typed.where(~_matches()), named("type", "property"), "medium", "fail")
+
     roots = nodes.where("node = ''").select(*KEY, "entity_type")
     wanted = _expected(extracted).groupBy(*KEY, "property").agg(F.max("required").alias("required"), F.max("held").alias("held")).where("not held").join(roots, KEY)
     must = rows(wanted.where("required"), named("required", "property"), "high", "fail")
@@ -227,10 +201,11 @@ def status(extracted: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def confidence(extracted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(page_id, pos, confidence): 1, less 0.2 without a known type and 0.05 outside JSON-LD; the least of an entity and those inside."""
-    known = F.exists("n.types", lambda t: t.isin(*vocabulary.types))
-    one = 1 - F.when(known, 0.0).otherwise(0.2) - F.when(F.col("n.format") == "json-ld", 0.0).otherwise(0.05)
-    return extracted.select(*KEY, F.explode("nodes").alias("n")).groupBy(*KEY).agg(F.round(F.greatest(F.lit(0.0), F.min(one)), 3).alias("confidence"))
+    """(page_id, pos, confidence): 1, less 0.2 without a known type and 0.05 outside JSON-LD; the least of an entity and those inside
+    that are judged."""
+    one = 1 - F.when(F.col("known").isNotNull(), 0.0).otherwise(0.2) - F.when(F.col("format") == "json-ld", 0.0).otherwise(0.05)
+    nodes, _ = _judged(extracted, vocabulary)
+    return nodes.groupBy(*KEY).agg(F.round(F.greatest(F.lit(0.0), F.min(one)), 3).alias("confidence"))
 
 
 def rich_results(extracted: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:

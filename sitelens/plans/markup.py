@@ -238,7 +238,64 @@ def _(spark, d):
     types = own.unionByName(upper).groupBy("type").agg(F.collect_set("parent").alias("parents"))
     root = types.limit(1).select(F.lit("Thing").alias("type"), F.array().cast("array<string>").alias("parents"))
     none = types.limit(0).select("type", F.lit("").alias("property"), F.array().cast("array<string>").alias("expected"))
-    return structured.Vocabulary.load(types.unionByName(root), none).closure_df(spark)
+    return structured.Vocabulary.load(types.unionByName(root), none).closure_df(spark).select("type", "ancestor")
+
+
+@register(
+    "udf_3_vocabulary_release",
+    """WITH p AS (SELECT DISTINCT p_brand, p_type, 'm' || (p_size % 5) AS m FROM part), e AS (SELECT m, string_agg(c, '|' ORDER BY c) AS expected FROM (SELECT DISTINCT 'm' || (p_size % 5) AS m, 'c' || p_size AS c FROM part) GROUP BY 1)
+SELECT known, m AS property, expected FROM (SELECT DISTINCT a.p_brand AS known, b.m FROM p a JOIN p b ON a.p_type = b.p_type UNION SELECT DISTINCT p_type, m FROM p) JOIN e USING (m)
+UNION ALL SELECT known, 'name', 'Text' FROM (SELECT p_brand AS known FROM p UNION SELECT p_type FROM p UNION SELECT 'Thing')""",
+)
+def _(spark, d):
+    """Brands below types below Thing, with properties of types by the parts' sizes, as a file in the form of a schema.org release."""
+    part = f.table(spark, d, "part").select("p_brand", "p_type", F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string")).alias("m"), F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("c"))
+    ref = lambda c: F.struct(F.concat(F.lit("schema:"), c).alias("@id"))
+    of = lambda key, kind, **lists: part.groupBy(F.concat(F.lit("schema:"), key).alias("@id")).agg(F.lit(kind).alias("@type"), *(F.array_sort(F.collect_set(ref(c))).alias(name) for name, c in lists.items()))
+    brands = of("p_brand", "rdfs:Class", **{"rdfs:subClassOf": "p_type"})
+    types = part.select(F.concat(F.lit("schema:"), "p_type").alias("@id"), F.lit("rdfs:Class").alias("@type"), F.array(ref(F.lit("Thing"))).alias("rdfs:subClassOf")).distinct()
+    made = of("m", "rdf:Property", **{"schema:domainIncludes": "p_type", "schema:rangeIncludes": "c"})
+    root = spark.sql("SELECT 'schema:Thing' AS `@id`, 'rdfs:Class' AS `@type`")
+    name = root.select(F.lit("schema:name").alias("@id"), F.lit("rdf:Property").alias("@type"), F.array(ref(F.lit("Thing"))).alias("schema:domainIncludes"), F.array(ref(F.lit("Text"))).alias("schema:rangeIncludes"))
+    graph = [x.select(F.to_json(F.struct("*")).alias("node")) for x in (brands, types, made, root, name)]
+    nodes = graph[0].unionByName(graph[1]).unionByName(graph[2]).unionByName(graph[3]).unionByName(graph[4])
+    path = store.scratch(spark, "release")
+    nodes.agg(F.concat(F.lit('{"@context": {}, "@graph": ['), F.array_join(F.sort_array(F.collect_list("node")), ","), F.lit("]}"))).coalesce(1).write.text(path)
+    allowed = structured.Vocabulary.from_release(spark, path).allowed_df(spark)
+    return allowed.select("known", "property", F.array_join(F.array_sort("expected"), "|").alias("expected"))
+
+
+#: A small hierarchy in which a car inherits from a vehicle, a product and a thing.
+_CARS = structured.Vocabulary(
+    {"Thing": [], "Product": ["Thing"], "Vehicle": ["Product"], "Car": ["Vehicle"], "Offer": ["Thing"]},
+    {("Thing", "name"): ["Text"], ("Product", "sku"): ["Integer"], ("Product", "offers"): ["Offer"], ("Vehicle", "sku"): ["Date"], ("Product", "similar"): ["Product"], ("Offer", "availability"): ["ItemAvailability"], ("Offer", "closes"): ["Time"], ("Offer", "bundled"): ["Boolean"]},
+)
+_KINDS = [
+    ("k % 7 = 0", "schema.unknown_type", "warning"),
+    ("k % 7 = 1", "schema.car.deprecated.reviews", "warning"),
+    ("k % 7 = 1", "schema.car.invalid_property.reviews", "warning"),
+    ("k % 7 <> 0 AND k % 3 > 0", "schema.car.type.sku", "fail"),  # a vehicle's date is nearer than a product's number
+    ("k % 7 = 2", "schema.offer.type.availability", "fail"),
+    ("k % 7 = 3", "schema.offer.type.closes", "fail"),
+    ("k % 7 = 3", "schema.offer.type.bundled", "fail"),
+    ("k % 7 = 4", "schema.car.type.similar", "fail"),
+    ("k % 7 = 6", "schema.car.invalid_property.maker", "warning"),
+]
+
+
+@register("sd_6_validate_kinds", " UNION ALL ".join(f"SELECT p_partkey AS page_id, '{c}' AS check_id, '{status}' AS status FROM (SELECT p_partkey, p_partkey AS k FROM part) WHERE {w}" for w, c, status in _KINDS))
+def _(spark, d):
+    """Unknown types, superseded and unknown properties, members of enumerations, times, truth values, types by inheritance; what
+    an unknown property holds is not judged."""
+    k = F.col("p_partkey")
+    case = lambda n, then: F.when(k % 7 == n, then)
+    offer = F.struct(F.lit("Offer").alias("@type"), F.concat(F.lit("https://schema.org/"), F.when(k % 7 == 2, "Gone").otherwise("InStock")).alias("availability"), F.when(k % 7 == 3, "late").otherwise("2024-05-01T10:00:00Z").alias("closes"), F.when(k % 7 == 3, "perhaps").otherwise("https://schema.org/True").alias("bundled"))
+    inner = lambda kind: F.struct(kind.alias("@type"), F.lit("s").alias("name"))
+    similar = F.when(k % 7 == 4, inner(F.lit("Offer"))).when(k % 7 == 5, inner(F.lit("Car")))
+    item = F.struct(F.when(k % 7 == 0, "Spaceship").otherwise("Car").alias("@type"), F.col("p_name").alias("name"), F.when(k % 3 == 0, "2024-02-29").otherwise("12").alias("sku"), case(1, F.lit("r")).alias("reviews"), offer.alias("offers"), similar.alias("similar"), case(6, inner(F.lit("Spaceship"))).alias("maker"))
+    html = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(item), F.lit("</script>"))
+    found = structured.extract(f.table(spark, d, "part").select(k.alias("page_id"), html.alias("html")))
+    return structured.validate(found, _CARS).where("check_id NOT LIKE '%.required.%' AND check_id NOT LIKE '%.recommended.%'").select("page_id", "check_id", "status")
 
 
 @register("udf_6_rule_version", f"SELECT 'finding' AS kind, '{catalog.VERSION}' AS rule_version, count(*) AS n FROM {FIELDS_SQL} WHERE title IS NULL UNION ALL SELECT 'entity', '{catalog.VERSION}', count(*) FROM {_ENTITIES}")

@@ -156,6 +156,54 @@ def test_structured_validation(spark):
     assert vocabulary().closure_df(spark).where("type = 'LocalBusiness'").count() == 4
 
 
+def test_one_bad_page_among_good_ones(spark):
+    bad = ['{"@type":"Product","name":"a\\ud800b"}', '{"@type":"Product","a":NaN}', '{"@type":"Product","a":-Infinity}', '{"@type":"Product","a":1e999}', '{"@type":"Product","\\uDC00k":"\\ud83d\\ude00"}', '{"@type":"Product","name":"good"}']
+    pages = spark.createDataFrame([(i, ld(b)) for i, b in enumerate(bad)], "page_id long, html string")
+    out = structured.extract(pages)
+    found = {r.page_id: json.loads(r.properties) for r in structured.entities(out).collect()}
+    assert found == {0: {"name": "a\ufffdb"}, 4: {"\ufffdk": "\U0001f600"}, 5: {"name": "good"}}
+    assert {r.page_id for r in structured.parse_errors(out).collect()} == {1, 2, 3}
+
+
+def test_what_an_unknown_property_holds_is_not_judged(spark):
+    inner = {"@type": "Nonsense", "shoe": {"@type": "Offer", "price": "x"}}
+    out = structured.extract(page(spark, body=ld({"@type": "Thing", "name": "n", "odd": [inner], "oddly": 1, "subjectOf": {"@type": "Offer", "price": "y"}})).select("page_id", "html"))
+    got = {(r.check_id, r.entity_type) for r in structured.validate(out, vocabulary()).collect()}
+    assert got == {("schema.thing.invalid_property.odd", "Thing"), ("schema.thing.invalid_property.oddly", "Thing"), ("schema.offer.type.price", "Offer")}
+    assert structured.confidence(out, vocabulary()).first().confidence == 1.0
+
+
+def test_the_nearest_definition_counts(spark):
+    # D names B before C: what B inherits from A is nearer than what C defines; circles end
+    types = {"A": [], "B": ["A"], "C": ["A"], "D": ["B", "C"], "X": ["Y"], "Y": ["X", "Lost"]}
+    v = structured.Vocabulary(types, {("A", "p"): ["Text"], ("C", "p"): ["URL"], ("C", "q"): ["URL"], ("D", "r"): ["Date"], ("Y", "s"): ["Text"], ("Lost", "t"): ["Text"]})
+    allowed = {(r.known, r.property): r.expected for r in v.allowed_df(spark).collect()}
+    assert {k[1]: e for k, e in allowed.items() if k[0] == "D"} == {"p": ["Text"], "q": ["URL"], "r": ["Date"]}
+    assert allowed["X", "s"] == ["Text"] and allowed["X", "t"] == ["Text"] and allowed["C", "p"] == ["URL"]
+    assert {(r.type, r.ancestor) for r in v.closure_df(spark).where("type in ('X', 'Y')").collect()} == {(a, b) for a in "XY" for b in ("X", "Y", "Lost")}
+
+
+def test_vocabulary_of_a_release(spark, tmp_path):
+    graph = [
+        {"@id": "schema:Thing", "@type": "rdfs:Class"},
+        {"@id": "schema:Text", "@type": ["schema:DataType", "rdfs:Class"]},
+        {"@id": "schema:Product", "@type": "rdfs:Class", "rdfs:subClassOf": {"@id": "schema:Thing"}},
+        {"@id": "schema:Car", "@type": "rdfs:Class", "rdfs:subClassOf": [{"@id": "schema:Vehicle"}, {"@id": "https://schema.org/Product"}]},
+        {"@id": "schema:Shade", "@type": "rdfs:Class", "rdfs:subClassOf": {"@id": "schema:Enumeration"}},
+        {"@id": "schema:Dark", "@type": "schema:Shade"},
+        {"@id": "schema:shade", "@type": "rdf:Property", "schema:domainIncludes": {"@id": "schema:Product"}, "schema:rangeIncludes": [{"@id": "schema:Shade"}]},
+        {"@id": "schema:tone", "@type": "rdf:Property", "schema:domainIncludes": {"@id": "schema:Product"}, "schema:rangeIncludes": {"@id": "schema:Text"}, "schema:supersededBy": {"@id": "schema:shade"}},
+    ]
+    path = tmp_path / "release.jsonld"
+    path.write_text(json.dumps({"@context": {}, "@graph": graph}, indent=1))
+    v = structured.Vocabulary.from_release(spark, str(path))
+    assert {(r.known, r.property, *r.expected) for r in v.allowed_df(spark).collect()} == {(t, p, e) for t in ("Car", "Product") for p, e in (("shade", "Shade"), ("tone", "Text"))}
+    blocks = [{"@type": "Car", "shade": "http://schema.org/Dark", "tone": "t"}, {"@type": "Product", "shade": "Light"}]
+    out = structured.extract(page(spark, body=ld(*blocks)).select("page_id", "html"))
+    got = {(r.pos, r.check_id) for r in structured.validate(out, v).where("check_id not like '%re%d.%' or check_id like '%deprecated%'").collect()}
+    assert got == {(0, "schema.car.deprecated.tone"), (1, "schema.product.type.shade")}
+
+
 def test_page_level_structured_checks(spark):
     site = {"@type": "WebSite", "name": "a"}
     out = structured.extract(page(spark, body=ld(site, site, {"@type": "WebSite", "name": "b"})).select("page_id", "html"))
