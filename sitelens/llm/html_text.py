@@ -1,8 +1,9 @@
 """Main text of HTML pages by two passes over text blocks.
 
-Pass one decides each block by where it stands (menus, asides, forms and the like), its link
-density, length and density of stop words. Pass two gives each undecided short block the label of
-its nearest decided neighbours.
+Pass one decides each block by where it stands (menus, asides, forms and the like), its link density, length, density of
+stop words and sentences. Only a place, a name, links or a closing notice speak against a block; that it holds few stop
+words does not, since it may be in any language. Pass two gives each undecided block the label of its nearest decided
+neighbours; where pass one found no main text at all, what is undecided stays.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import wide
 
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.25, 70, 200, 0.15, 0.25
-#: A page whose words hold fewer stop words is in none of the languages served; sentences are looked for instead.
-UNKNOWN = 0.1
 
 #: Common function words of the languages served.
 STOP_WORDS = frozenset("""
@@ -39,7 +38,6 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'
 _ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+|\"[^\"]*+\"|'[^']*+'")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
 #: Marks that end a sentence, in any script.
 _SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|[。！？｡।॥؟۔።។။]")
 #: Letters of scripts in which a letter says as much as two or three elsewhere.
@@ -51,6 +49,11 @@ sidebar side aside menu menus nav navbar navigation breadcrumb breadcrumbs foote
 replies reply respond share sharing social related recommended newsletter subscribe subscription signup login search widget widgets pagination pager tags
 complementary contentinfo skip copyright disclaimer advert adverts advertisement advertising
 """.split())
+#: Words that say nothing of their own beside one of those: inside an article a name counts only if it has no other words.
+_PLAIN_WORDS = frozenset("""
+box block container wrapper wrap section list area bar inner outer item items unit slot row col column left right top bottom inline mobile desktop
+post posts entry article articles story stories link links button buttons icon icons form title heading media module group panel content js
+""".split())
 #: Inside an article these name its own heading.
 _HEADING_WORDS = frozenset("header masthead banner".split())
 #: Words before a hyphen that say what a page has or lacks, not what the element is.
@@ -59,19 +62,21 @@ _RAW = {"script", "style", "textarea", "title", "template", "iframe", "noembed",
 #: Without an end tag these reach to the end of the page; of the others only the start tag is skipped.
 _ENDLESS = {"script", "style", "textarea", "title"}
 _CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in _RAW}
-_BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
+_BOILER = {"nav", "footer", "aside", "menu", "dialog", "button", "head"}
+_FORMS = {"form", "fieldset"}
 _SCOPES = {"main", "article"}
-_CONTAINERS = {"html", "body", "div", "section", "header", "hgroup", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "blockquote", "center", "details", "address"} | _BOILER | _SCOPES
+_CONTAINERS = {"html", "body", "div", "section", "header", "hgroup", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "blockquote", "center", "details", "address"} | _BOILER | _FORMS | _SCOPES
 _LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "caption", "figcaption", "summary", "legend", "hr", "option"}
 
 
 @dataclass
 class Block:
-    """scope: number of the innermost article or main around it, or 0."""
+    """form: inside a form; scope: number of the innermost article or main around it, or 0."""
 
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     boiler: bool = False
+    form: bool = False
     scope: int = 0
     heading: bool = False
     text: str = ""
@@ -95,7 +100,8 @@ def _boiler_name(attributes: str, scope: int | bool = 0) -> bool:
     for names in _ATTRIBUTE.findall(attributes):
         for name in "".join(names).lower().split():
             words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", name)]
-            if words[0] not in _STATES and any(w in _BOILER_WORDS and not (scope and w in _HEADING_WORDS) for w in words):
+            told = [w for w in words if w in _BOILER_WORDS and not (scope and w in _HEADING_WORDS)]
+            if told and words[0] not in _STATES and not (scope and any(w and w not in _BOILER_WORDS and w not in _PLAIN_WORDS for w in words)):
                 return True
     return _hidden(attributes)
 
@@ -103,15 +109,16 @@ def _boiler_name(attributes: str, scope: int | bool = 0) -> bool:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, white space and references still as written."""
     out = [Block()]
-    stack: list[tuple[str, bool, int]] = []  # open containers: tag, boilerplate, scope
+    stack: list[tuple[str, bool, bool, int]] = []  # open containers: tag, boilerplate, form, scope
+    opened: dict[str, int] = {}  # how many of each tag are open
     unclosed: set[str] = set()  # tags that no end tag follows any more
     leaf, leaf_boiler, linking, scopes, at, heading_until = "", False, False, 0, 0, False
 
     def start() -> None:
-        boiler, scope = stack[-1][1:] if stack else (False, 0)
+        boiler, form, scope = stack[-1][1:] if stack else (False, False, 0)
         if out[-1].parts:
             out.append(Block())
-        out[-1].boiler, out[-1].scope, out[-1].heading = boiler or leaf_boiler, scope, leaf[:1] == "h" and leaf[1:].isdigit()
+        out[-1].boiler, out[-1].form, out[-1].scope, out[-1].heading = boiler or leaf_boiler, form, scope, leaf[:1] == "h" and leaf[1:].isdigit()
 
     last = page.rfind(">")  # beyond it there is no tag, and at most one comment
     while True:
@@ -142,23 +149,25 @@ def blocks(page: str) -> list[Block]:
         elif tag in ("br", "img", "input", "wbr"):
             out[-1].parts.append("" if tag == "wbr" else " ")
         elif tag in _LEAVES:
-            leaf, leaf_boiler = ("", False) if closing else (tag, _boiler_name(attributes, stack[-1][2] if stack else 0))
+            leaf, leaf_boiler = ("", False) if closing else (tag, _boiler_name(attributes, stack[-1][3] if stack else 0))
             start()
         elif tag in _CONTAINERS:
             leaf, leaf_boiler = "", False
             if closing:
                 linking = False
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while opened.get(tag):
+                    name = stack.pop()[0]
+                    opened[name] -= 1
+                    if name == tag:
                         break
             else:
-                boiler, scope = stack[-1][1:] if stack else (False, 0)
+                boiler, form, scope = stack[-1][1:] if stack else (False, False, 0)
                 boiler = boiler or tag in _BOILER or tag == "header" and not scope or tag not in ("html", "body") and _boiler_name(attributes, scope or tag in _SCOPES)
                 if tag in _SCOPES and not boiler:
                     scopes += 1
                     scope = scopes
-                stack.append((tag, boiler, scope))
+                stack.append((tag, boiler, form or tag in _FORMS, scope))
+                opened[tag] = opened.get(tag, 0) + 1
             start()
 
 
@@ -172,38 +181,39 @@ def _stops(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def _foreign(found: list[Block]) -> bool:
-    """Whether what a page says at length is in none of the languages that the stop words are of."""
-    counts = [_stops(b.text) for b in found if not b.boiler and _size(b.text) >= SHORT]
-    return sum(s for s, _ in counts) < UNKNOWN * sum(n for _, n in counts)
+def _runs(text: str) -> bool:
+    """Whether a text is running text, by its stop words or, in any language, by its sentences."""
+    if _size(text) < SHORT:
+        return False
+    stops, words = _stops(text)
+    share = stops / max(1, words)
+    return share >= MANY_STOPS or share >= FEW_STOPS and len(text) >= LONG or bool(_SENTENCE.search(text))
 
 
-def _decide(block: Block, foreign: bool) -> bool | None:
-    """True: main text; False: boilerplate; None: left to the second pass."""
-    if block.boiler:
-        return False
-    linked = len(" ".join("".join(block.linked).split()))
-    if linked > MAX_LINKS * len(block.text):
+def _linked(block: Block) -> bool:
+    return len(" ".join("".join(block.linked).split())) > MAX_LINKS * len(block.text)
+
+
+def _forms_hold_the_page(found: list[Block]) -> bool:
+    """Whether a form is around most of a page's text, so that it says nothing of the text."""
+    sizes = [(b.form, len(b.text)) for b in found if not b.boiler and not _linked(b)]
+    return 2 * sum(n for form, n in sizes if form) > sum(n for _, n in sizes) and any(b.form and not b.boiler and _runs(b.text) for b in found)
+
+
+def _decide(block: Block, closing: bool) -> bool | None:
+    """True: main text; False: boilerplate; None: left to the second pass. ``closing``: no running text follows."""
+    if block.boiler or _linked(block):
         return False
-    if not block.scope and "©" in block.text:
+    if closing and not block.scope and "©" in block.text and _size(block.text) < LONG:
         return False
-    if block.heading or _size(block.text) < SHORT:
-        return None
-    stops, words = _stops(block.text)
-    share = stops / max(1, words)
-    if share >= MANY_STOPS or share >= FEW_STOPS and len(block.text) >= LONG:
-        return True
-    letters = "" if block.text.isascii() else "".join(_WORD.findall(block.text))
-    if foreign or 2 * len(_LATIN.findall(letters)) < len(letters):
-        # no stop words to go by: running text is what has sentences
-        return True if _SENTENCE.search(block.text) else None
-    return None if block.scope or share >= FEW_STOPS else False
+    return None if block.heading or not _runs(block.text) else True
 
 
 def _neighbours(found: list[Block]) -> list[bool]:
     """Labels with undecided blocks filled in: from the nearest decided blocks of the same scope, a
-    tie to the next one for headings and to main text inside an article; without any, by the scope."""
-    n = len(found)
+    tie to the next one for headings and to main text inside an article; without any, by the scope. If no block at all was
+    decided to be main text, all undecided ones are."""
+    n, none = len(found), not any(b.label for b in found)
     nearest: list[list[tuple[int, bool] | None]] = [[], []]
     for side, order in ((0, range(n)), (1, range(n - 1, -1, -1))):
         seen: dict[int, tuple[int, bool]] = {}
@@ -219,7 +229,9 @@ def _neighbours(found: list[Block]) -> list[bool]:
             out.append(block.label)
             continue
         before, after = nearest[0][i], nearest[1][i]
-        if not before and not after:
+        if none:
+            out.append(True)
+        elif not before and not after:
             out.append(block.scope > 0)
         elif not before or not after:
             out.append((before or after)[1])
@@ -241,9 +253,12 @@ def main_text(page: str) -> str:
         block.text = " ".join((html.unescape(text) if "&" in text else text).split())
         if block.text:
             found.append(block)
-    foreign = _foreign(found)
-    for block in found:
-        block.label = _decide(block, foreign)
+    if not _forms_hold_the_page(found):
+        for block in found:
+            block.boiler |= block.form
+    last = max((k for k, b in enumerate(found) if not b.boiler and "©" not in b.text and _runs(b.text)), default=-1)
+    for k, block in enumerate(found):
+        block.label = _decide(block, k > last)
     labels = _neighbours(found)
     # where articles hold at least half of the main text, what stands around them is not part of it
     inside = sum(len(b.text) for b, good in zip(found, labels) if good and b.scope)
@@ -263,6 +278,7 @@ def extract(pages: DataFrame, html_col: str = "html", into: str = "text") -> Dat
 
     Blocks are joined in page order by two newlines; references are decoded and white space inside a
     block becomes one space. Null, empty and text-free pages give an empty text; unclosed tags and
-    cut pages are read as far as they go; the whole page is read. An empty table stays empty.
+    cut pages are read as far as they go; the whole page is read. Repeated rows and null ids keep a row each, and other columns
+    stay. An empty table stays empty.
     """
     return wide(pages).withColumn(into, main_text_of(F.col(html_col)))
