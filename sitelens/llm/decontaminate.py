@@ -158,6 +158,18 @@ def _block(windows: DataFrame, block: int, blocks: int):
     return windows.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "words": list(words), "items": list(items), **numbers})
 
 
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch as one."""
+    last = lambda runs: F.element_at(runs, -1)
+
+    def add(runs: Column, x: Column) -> Column:
+        grown = F.struct(last(runs)["first"].alias("first"), F.greatest(last(runs)["last"], x["last"]).alias("last"), last(runs)["start"].alias("start"), F.greatest(last(runs)["stop"], x["stop"]).alias("stop"))
+        joined = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))
+        return F.when(F.size(runs) == 0, F.array(x)).when(x["first"] <= last(runs)["last"] + 1, joined).otherwise(F.concat(runs, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), add)
+
+
 def _n_hit(spans: Column) -> Column:
     words = F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"])))
     return F.size(F.array_distinct(words)).cast("long")
@@ -186,7 +198,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             parts.append(materialise(docs.select(F.md5(text).alias("k"), _scan(shared)(text).alias("h")).where(F.size("h.spans") > 0), "hits"))
             shared.destroy()
         merged = reduce(DataFrame.unionByName, parts).groupBy("k").agg(
-            F.array_distinct(F.flatten(F.collect_set("h.spans"))).alias("spans"),
+            _merged(F.array_distinct(F.flatten(F.collect_set("h.spans")))).alias("spans"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_set("h.items")))).alias("items"),
         )
         merged = merged.select(F.col("k").alias("__k"), F.struct("spans", "items").alias("__h"))
