@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import wide
+from .common import materialise, wide
 
 #: n-grams in a profile and of a document.
 PROFILE = 400
@@ -85,8 +85,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Profiles by language, from about ``max_labelled`` rows of each at most (those with the smallest
     hashes of their ids). Rows with null text or label take no part. The result holds ``most`` grams a language."""
     sample, langs = _sampled(labelled, id_col, text_col, lang_col, max_labelled)
-    if sample is None:
-        return {}
+    return {} if sample is None else _profiles(sample, langs, most)
+
+
+def _profiles(sample: DataFrame, langs: list[str], most: int) -> dict[str, list[int]]:
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).collect()
@@ -133,15 +135,21 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     return wide(docs).withColumn(into, predict(F.col(text_col).cast("string"), profiles))
 
 
-def bounds(labelled: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, least: float = LEAST) -> dict[str, float]:
-    """The least score of each language at which a text counts as written in it: ``least`` times the median
-    score of the labelled rows (as many as ``fit`` takes) that are predicted as labelled."""
+def fit_known(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, most: int = PROFILE, least: float = LEAST) -> tuple[dict[str, list[int]], dict[str, float]]:
+    """The profiles that ``fit`` makes, and for each language the score at which a text counts as written in it.
+
+    That is ``least`` times the median score of the labelled rows of the sample that are predicted as labelled; 0 where none is. The
+    sample is written once and read by both. Null ids count as one id, repeated rows once each; rows with null text or label
+    take no part, and other columns are not read. No labelled rows: no profiles and no bounds.
+    """
     sample, langs = _sampled(labelled, id_col, text_col, lang_col, max_labelled)
     if sample is None:
-        return {}
+        return {}, {}
+    sample = materialise(sample, "labelled")
+    profiles = _profiles(sample, langs, most)
     right = identify(sample, profiles).where("language.lang = lang").groupBy("lang").agg(F.percentile_approx("language.score", 0.5, 100000).alias("median"))
     medians = {r.lang: r["median"] for r in right.collect()}
-    return {lang: least * medians.get(lang, 0.0) for lang in langs}
+    return profiles, {lang: least * medians.get(lang, 0.0) for lang in langs}
 
 
 def known(language: Column, least: dict[str, float]) -> Column:

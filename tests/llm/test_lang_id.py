@@ -45,3 +45,16 @@ def test_odd_rows(odd, none):
     assert lang_id.fit(none) == {}
     assert lang_id.identify(odd, {}).where("language.lang = 'und'").count() == 13
     assert lang_id.identify(none, profiles).collect() == []
+
+
+def test_bounds_of_known_languages(spark, sf, odd, none):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    profiles, least = lang_id.fit_known(docs)
+    assert profiles == lang_id.fit(docs)
+    rows = lang_id.identify(docs, profiles).collect()
+    for lang, bound in least.items():
+        scores = sorted(r.language.score for r in rows if r.language.lang == lang == r.lang)
+        assert bound == 0.5 * scores[(len(scores) - 1) // 2]
+    assert lang_id.fit_known(none) == ({}, {})
+    profiles, least = lang_id.fit_known(odd.withColumn("place", lang_id.F.lit(1)))
+    assert profiles.keys() == least.keys() == {"en", "de", "fr", "es"} and least["de"] == 0.0 < least["en"]
