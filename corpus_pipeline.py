@@ -16,11 +16,10 @@ from sitelens.llm.queries import WEIGHTS, levels
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay whose text is in one of the labelled languages; what is too far from all of them goes,
-    and so does text without letters, or null."""
-    labelled = docs.where(~lang_id.held_out())
-    profiles = lang_id.fit(labelled)
-    least = lang_id.bounds(labelled, profiles)
-    return lang_id.identify(docs, profiles, into="__language").where(lang_id.known(F.col("__language"), least)).select(*docs.columns)
+    and so does text without letters, or null. A null language becomes the predicted one."""
+    profiles, least = lang_id.fit_known(docs.where(~lang_id.held_out()))
+    found = lang_id.identify(docs, profiles, into="__language").where(lang_id.known(F.col("__language"), least))
+    return found.withColumn("lang", F.coalesce("lang", "__language.lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
