@@ -13,11 +13,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -31,8 +33,8 @@ from .token_count import _open
 WINDOW, STEPS, END = 4096, 128, 2
 #: Words, and parts of words, whose ids a worker remembers; they are forgotten together when there are more.
 WORDS, PARTS = 400_000, 1_000_000
-#: Characters of texts that are encoded together; a longer single text makes a longer piece.
-TOGETHER = 1 << 20
+#: Bytes of texts that are encoded together; a longer single text makes a longer piece.
+TOGETHER = 4 << 20
 #: Sequences of one block of the prefix scan over what is free.
 BLOCK = 4096
 
@@ -72,45 +74,62 @@ class Encoder:
             whole = len(stops) == len(some) and stops[-1] == len(ids)
             self.parts.update(zip(some, map(np.ndarray.tobytes, np.split(ids, stops[:-1])) if whole else self._one_by_one(some)))
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = words.difference(self.known)
+    def learn(self, words: list[str]) -> None:
+        """Make the ids of distinct words known. All is done for many words at once; those that are odd are set apart only where there are any."""
+        fresh = list(set(words).difference(self.known))
         if len(self.known) + len(fresh) > WORDS:
             self.known.clear()
             fresh = words
         if len(self.parts) > PARTS:
             self.parts = {" ": _MARK}
-        fresh = list(fresh)
-        texts = b" ".join(fresh).decode().split(" ")
-        odd = [k for k, t in enumerate(texts) if self.pattern is None or not t.isprintable()]
-        odd += [k for added in self.added if added in "".join(texts) for k, t in enumerate(texts) if added in t]
-        for k, ids in zip(odd, self._one_by_one([texts[k] for k in odd])):
-            self.known[fresh[k]] = ids
-        fresh = [w for w in fresh if w not in self.known] if odd else fresh
-        if fresh:
-            # all words as one text, a space between two of them, which is a part of its own
-            parts = self.pattern.findall(self.tokenizer.normalizer.normalize_str(b" ".join(fresh).decode()))
+        text = " ".join(fresh)
+        if self.pattern is None or not text.isprintable() or any([t in text for t in self.added]):
+            alone = [w for w in fresh if self.pattern is None or not w.isprintable() or any([t in w for t in self.added])]
+            self.known.update(zip(alone, self._one_by_one(alone)))
+            fresh = [w for w in fresh if w not in self.known]
+        # a word of letters is one part, which Python lower-cases as the tokenizer does but for a last sigma and what isn't composed
+        alike = "Σ" not in text and unicodedata.is_normalized("NFC", text)
+        plain = list(filter(str.isalpha, fresh)) if alike else [w for w in fresh if w.isalpha() and w.isascii()]
+        if plain:
+            lower = " ".join(plain).lower().split(" ")
+            self._learn_parts(list(set(lower).difference(self.parts)))
+            self.known.update(zip(plain, map(self.parts.__getitem__, lower)))
+        mixed = list(set(fresh).difference(plain))
+        if mixed:
+            # all of them as one text, a space between two words, which is a part of its own
+            parts = self.pattern.findall(self.tokenizer.normalizer.normalize_str(" ".join(mixed)))
             self._learn_parts(list(set(parts).difference(self.parts)))
             ids = b"".join(map(self.parts.__getitem__, parts)) + _MARK
             stops = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == _NONE)).tolist()
-            self.known.update(zip(fresh, [ids[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; words that no text before had are learnt together."""
-        words = [t.encode().split() for t in texts]
-        distinct = set().union(*words)
-        self.learn(distinct)
-        near = {w: self.known[w] for w in distinct}  # small enough to stay in the processor's cache
-        return [b"".join(map(near.__getitem__, own)) for own in words]
-
-
-def _encoded(encoder: Encoder, texts: pa.Array) -> Iterator[bytes]:
-    some, size = [], 0
-    for k, text in enumerate(texts, 1):
-        some.append(text.as_py() or "")
-        size += len(some[-1])
-        if size > TOGETHER or k == len(texts):
-            yield from encoder.encode(some)
-            some, size = [], 0
+            self.known.update(zip(mixed, [ids[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, null as empty: words are numbered, each number's ids looked up once, and gathered."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        names, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        self.learn(names)
+        made = [self.known[w] for w in names]
+        flat = np.frombuffer(b"".join(made), "<u4")
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        ends = np.cumsum(own)
+        kind = np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64
+        places = np.repeat((starts[at] - (ends - own)).astype(kind), own)
+        places += np.arange(len(places), dtype=kind)
+        ids = flat[places]
+        borders = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            yield ids[a:b]
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // TOGETHER
+    borders = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(borders[:-1], borders[1:]):
+        yield from encoder.encode(texts.slice(a, b - a))
 
 
 _TOKENS = "part int, at long, doc_id long, n_tokens long, ids binary, whole array<long>, whole_before long, rest int, rest_crc long, bin int, ordinal long"
@@ -137,16 +156,15 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         encoder = _worker["encoder"]
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16
         part, at, before, numbers = TaskContext.get().partitionId(), 0, 0, [0] * (steps + 1)
-        last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(encoder, batch.column(1))):
-                ids, n = ids + last, len(ids) // 4 + 1
-                count, rest = divmod(n, window)
-                whole = [zlib.crc32(ids[4 * window * k : 4 * window * (k + 1)]) for k in range(count)]
+                ids = np.append(ids, np.uint32(end))
+                count, rest = divmod(len(ids), window)
+                whole = [zlib.crc32(ids[window * k : window * (k + 1)]) for k in range(count)]
                 b = -(-rest // unit)
-                kept = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids
-                rows.append((part, at, doc_id, n, kept, whole, before, rest, zlib.crc32(ids[4 * window * count :]), b, numbers[b]))
+                kept = (ids.astype("<u2") if narrow else ids).tobytes()
+                rows.append((part, at, doc_id, len(ids), kept, whole, before, rest, zlib.crc32(ids[window * count :]), b, numbers[b]))
                 at, before, numbers[b] = at + 1, before + count, numbers[b] + 1
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             names = [c.split()[0] for c in _TOKENS.split(", ")]
