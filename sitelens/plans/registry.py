@@ -625,10 +625,26 @@ def _(spark, d):
     return progress.progress(_events(spark, d)).drop("elapsed_s", "eta_s")
 
 
+def _streamed(spark, rows: DataFrame, make) -> DataFrame:
+    """``rows`` as a stream through ``make``, to its end; what it told, read again."""
+    path = store.scratch(spark, "stream")
+    rows.write.parquet(f"{path}/in")
+    live = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    provider, rocks = progress.ROCKS
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, rocks)
+    try:
+        out = make(live)
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
 @register("str_3_completed", f"SELECT crawl_id, count(*) AS settled, count(*) AS total FROM {f.EVENTS_SQL} WHERE crawl_id % 2 = 0 GROUP BY 1")
 def _(spark, d):
     total = F.when(F.col("crawl_id") % 2 == 0, F.col("total") / 2).otherwise(F.col("total")).cast("long")
-    return progress.completed(_events(spark, d).withColumn("total", total))
+    return _streamed(spark, _events(spark, d).withColumn("total", total).select("crawl_id", "ts", "total"), progress.completions)
 
 
 @register("str_4_dedupe", f"SELECT DISTINCT crawl_id, domain FROM {f.EVENTS_SQL}")
@@ -642,6 +658,38 @@ def _(spark, d):
     return out.select("domain", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("second"), "n", "excess")
 
 
+#: Whole hours, so that seconds hold many events of a domain.
+_SECONDS = f"(SELECT event_id, domain, TIMESTAMP '2024-01-01' + to_microseconds(CAST(epoch_us(ts) % 3600000000 AS BIGINT) // 10) AS ts FROM {f.EVENTS_SQL})"
+
+
+@register(
+    "str_6_waits",
+    f"""SELECT event_id, place, CASE WHEN place > 2 THEN CAST(ceil((1000000 - epoch_us(ts) % 1000000) / 1000.0) AS BIGINT) ELSE 0 END AS wait_ms FROM (
+  SELECT event_id, ts, row_number() OVER (PARTITION BY domain, epoch_us(ts) // 1000000 ORDER BY ts, event_id) AS place, max(ts) OVER () AS last FROM {_SECONDS}) WHERE (epoch_us(ts) // 1000000 + 11) * 1000000 < epoch_us(last)""",
+)
+def _(spark, d):
+    """The wait of each event at two a second and domain, over a stream, for the seconds that are over when it ends."""
+    us = F.lit(1704067200000000) + F.floor(F.unix_micros("ts") % 3600000000 / 10).cast("long")
+    rows = _events(spark, d).select("event_id", "domain", F.timestamp_micros(us).alias("ts"))
+    return _streamed(spark, rows, lambda live: progress.wait_stream(live, rate=2)).select("event_id", "place", "wait_ms")
+
+
+_FINISHED = f"(SELECT event_id, crawl_id, ts, event_id % 997 = 5 AS fin FROM {f.EVENTS_SQL})"
+
+
+@register(
+    "str_9_feed_stream",
+    f"""WITH e AS (SELECT *, 100 * (crawl_id % 3) + count(*) FILTER (WHERE NOT fin) OVER w AS settled, count(*) FILTER (WHERE fin) OVER w - fin::INT AS over FROM {_FINISHED} WINDOW w AS (PARTITION BY crawl_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT coalesce(event_id, -1) AS event_id, crawl_id, CAST(settled AS BIGINT) AS settled, fin AS finished FROM e WHERE over = 0 UNION ALL SELECT DISTINCT -1, crawl_id, 100 * (crawl_id % 3), false FROM e WHERE crawl_id % 3 > 0""",
+)
+def _(spark, d):
+    """A stream that starts from a stored snapshot of some crawls and ends each crawl with its event ``finished``."""
+    events = _events(spark, d).withColumn("outcome", F.when(F.col("event_id") % 997 == 5, "finished").otherwise(F.col("outcome")))
+    snapshot = events.where("crawl_id % 3 > 0").select("crawl_id", (100 * (F.col("crawl_id") % 3)).alias("settled"), F.lit(False).alias("finished")).distinct()
+    told = _streamed(spark, events.select("crawl_id", "event_id", "ts", "outcome"), lambda live: progress.feed_stream(live, snapshot))
+    return told.select(F.coalesce("event_id", F.lit(-1)).alias("event_id"), "crawl_id", "settled", "finished")
+
+
 @register("str_9_progress_feed", f"SELECT event_id, count(*) OVER (PARTITION BY crawl_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS settled FROM {f.EVENTS_SQL}")
 def _(spark, d):
     return progress.progress_feed(_events(spark, d)).select("event_id", "settled")

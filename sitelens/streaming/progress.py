@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,27 +34,57 @@ def progress(events: DataFrame) -> DataFrame:
     return by.select("crawl_id", "crawled", "unchanged", "failed", "settled", "total", percent.alias("percent"), "current_url", F.round(elapsed, 3).alias("elapsed_s"), eta.alias("eta_s"))
 
 
+#: Provider of state that processors with timers and lists need; set in the session that starts such a stream.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _ms(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy("datetime64[us]").astype("int64") // 1000
+
+
 class _Completion(StatefulProcessor):
+    """Counts the settled pages of a crawl; what it knows goes ``ttl`` after the crawl's last event."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("settled", "n long, total long, told boolean")
+        self.handle = handle
+        self.state = handle.getValueState("settled", "n long, total long, told boolean, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, total, told = self.state.get() if self.state.exists() else (0, 0, False)
+        known = self.state.exists()
+        n, total, told, last = self.state.get() if known else (0, 0, False, 0)
         for frame in rows:
-            n, total = n + len(frame), max(total, int(frame["total"].max()))
+            n, total, last = n + len(frame), max(total, int(frame["total"].max())), max(last, int(_ms(frame["ts"]).max()))
         if not told and total > 0 and n >= total:
             told = True
             yield pd.DataFrame({"crawl_id": [key[0]], "settled": [n], "total": [total]})
-        self.state.update((n, total, told))
+        self.state.update((n, total, told, last))
+        if not known:
+            self.handle.registerTimer(last + self.ttl)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = self.state.get()[3] + self.ttl
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)  # events came since it was set
+        else:
+            self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def completions(events: DataFrame) -> DataFrame:
-    """(crawl_id, settled, total) once for each crawl of a stream, when all its pages are settled."""
+def completions(events: DataFrame, ttl: timedelta = timedelta(days=3), delay: str = "10 minutes") -> DataFrame:
+    """(crawl_id, settled, total) once for each crawl of a stream (crawl_id, ts, total), when all its pages are settled.
+
+    A crawl's state is kept until the watermark is ``ttl`` past its last event. Events later than the watermark, which is
+    ``delay`` behind, are left out, so no late event of a crawl that is over counts as a new one.
+    """
     schema = T.StructType.fromDDL("crawl_id long, settled long, total long")
-    return events.select("crawl_id", "total").groupBy("crawl_id").transformWithStateInPandas(_Completion(), schema, "append", "none")
+    rows = events.select(F.col("crawl_id").cast("long").alias("crawl_id"), "ts", "total").withWatermark("ts", delay)
+    return rows.groupBy("crawl_id").transformWithStateInPandas(_Completion(ttl // timedelta(milliseconds=1)), schema, "append", "eventTime")
 
 
 def completed(events: DataFrame) -> DataFrame:
@@ -81,10 +113,118 @@ def waits(events: DataFrame, rate: int = 5) -> DataFrame:
     return events.withColumn("place", place).withColumn("wait_ms", F.when(F.col("place") > rate, left).otherwise(0).cast("long"))
 
 
+_WAIT = "domain string, event_id long, ts timestamp, place long, wait_ms long"
+
+
+class _Waits(StatefulProcessor):
+    """Keeps a domain's events until their second is over, and then places them."""
+
+    def __init__(self, rate: int) -> None:
+        self.rate = rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "second long", "ts array<long>, event_id array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for frame in rows:
+            us = frame["ts"].to_numpy("datetime64[us]").astype("int64")
+            for second, own in frame.assign(us=us).groupby(us // 1_000_000):
+                held = self.open.getValue((second,)) if self.open.containsKey((second,)) else None
+                if held is None:
+                    self.handle.registerTimer(1000 * (second + 1))
+                ts, ids = (list(held[0]), list(held[1])) if held is not None else ([], [])
+                self.open.updateValue((second,), (ts + own["us"].tolist(), ids + own["event_id"].tolist()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        second = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        ts, ids = self.open.getValue((second,))
+        self.open.removeKey((second,))
+        order = sorted(zip(ts, ids))
+        left = [-((us - (second + 1) * 1_000_000) // 1000) for us, _ in order]
+        place = range(1, len(order) + 1)
+        yield pd.DataFrame({"domain": key[0], "event_id": [i for _, i in order], "ts": pd.to_datetime([us for us, _ in order], unit="us"), "place": place, "wait_ms": [w if p > self.rate else 0 for p, w in zip(place, left)]})
+
+    def close(self) -> None:
+        pass
+
+
+def wait_stream(events: DataFrame, rate: int = 5, delay: str = "10 seconds") -> DataFrame:
+    """The same over a stream (domain, event_id, ts): (domain, event_id, ts, place, wait_ms) of each event once the watermark has
+    passed its second. State holds the events of seconds that aren't over."""
+    rows = events.select("domain", F.col("event_id").cast("long").alias("event_id"), "ts").withWatermark("ts", delay)
+    return rows.groupBy("domain").transformWithStateInPandas(_Waits(rate), T.StructType.fromDDL(_WAIT), "append", "eventTime")
+
+
 def progress_feed(events: DataFrame) -> DataFrame:
-    """Every event of a table with the settled pages of its crawl so far."""
+    """Every event of a table with the settled pages of its crawl so far, up to and with the event ``finished`` that ends it."""
     upto = Window.partitionBy("crawl_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("settled", F.count("*").over(upto))
+    end = F.col("outcome") == "finished"
+    ends = F.count_if(end).over(upto) - end.cast("int")
+    return events.withColumns({"settled": F.count_if(~end).over(upto), "finished": end, "__ends": ends}).where("__ends = 0").drop("__ends")
+
+
+_FEED = "crawl_id long, event_id long, settled long, finished boolean"
+
+
+class _Feed(StatefulProcessor):
+    """The settled pages of a crawl after each event: first what a snapshot holds, then updates, until the crawl is finished."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("settled", "n long, shown boolean, ended boolean, last long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        n, ended = int(initialState["settled"].max()), bool(initialState["finished"].max())
+        self.state.update((n, False, ended, 0))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.state.exists()
+        n, shown, ended, last = self.state.get() if known else (0, True, False, 0)
+        timed = last > 0
+        out: list[tuple] = []
+        if not shown:
+            out.append((None, n, ended))
+        for frame in [pd.concat(rows).sort_values(["ts", "event_id"])]:
+            last = max(last, int(_ms(frame["ts"]).max()))
+            for event, outcome in zip(frame["event_id"], frame["outcome"]):
+                if ended:
+                    break
+                ended = outcome == "finished"
+                n += not ended
+                out.append((event, n, ended))
+        self.state.update((n, True, ended, last))
+        if not timed:
+            self.handle.registerTimer(last + self.ttl)
+        if out:
+            yield pd.DataFrame({"crawl_id": key[0], "event_id": pd.array([e for e, _, _ in out], "Int64"), "settled": [s for _, s, _ in out], "finished": [e for _, _, e in out]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = self.state.get()[3] + self.ttl
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def feed_stream(events: DataFrame, snapshot: DataFrame | None = None, ttl: timedelta = timedelta(days=3), delay: str = "10 minutes") -> DataFrame:
+    """(crawl_id, event_id, settled, finished) over a stream (crawl_id, event_id, ts, outcome) that comes in order of time.
+
+    ``snapshot`` (crawl_id, settled, finished) is where crawls stand when the stream starts; with the first event of such a crawl
+    a row without event_id tells it. The event ``finished`` ends a crawl's feed; what comes after it is not told. State goes
+    ``ttl`` after a crawl's last event.
+    """
+    rows = events.select(F.col("crawl_id").cast("long").alias("crawl_id"), F.col("event_id").cast("long").alias("event_id"), "ts", "outcome").withWatermark("ts", delay)
+    start = None if snapshot is None else snapshot.select(F.col("crawl_id").cast("long").alias("crawl_id"), F.col("settled").cast("long").alias("settled"), "finished").groupBy("crawl_id")
+    return rows.groupBy("crawl_id").transformWithStateInPandas(_Feed(ttl // timedelta(milliseconds=1)), T.StructType.fromDDL(_FEED), "append", "eventTime", initialState=start)
 
 
 def _write(checkpoint: str, number: int) -> str:
