@@ -135,25 +135,44 @@ def entity_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("page_id", "key", "change_type", severity.alias("severity"), F.coalesce("at", "bt").alias("entity_type"), F.coalesce("ai", "bi").alias("identity"))
 
 
+def _scalar(v: Column) -> Column:
+    """A value as JSON that is equal where values count as equal: keys in order, 1.0 as 1, of an entity type and identity only,
+    of a reference what it names."""
+
+    def one(v: Column) -> Column:
+        part = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+        ref, entity = F.struct(part("ref").alias("ref")), F.struct(part("type").alias("type"), part("identity").alias("identity"))
+        held = F.when(part("ref").isNotNull(), F.to_json(ref)).otherwise(F.to_json(entity, {"ignoreNullFields": "false"}))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), held).otherwise(F.to_json(v))
+
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(one(x), F.lit("null")))
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))).otherwise(one(v))
+
+
 def _properties(entities: DataFrame, name: str) -> DataFrame:
-    rows = _keyed(entities).select("page_id", "key", "entity_hash", F.explode(F.from_json("properties", "map<string,string>")).alias("property", "v"))
-    plain = rows.where("v is not null and trim(v) <> '' and v <> '[]'")
-    return plain.select("page_id", "key", F.col("entity_hash").alias(f"{name}h"), "property", F.col("v").alias(name))
+    """(page_id, key, property, <name>: the value as text, <name>s: as it is compared), without what counts as absent."""
+    rows = _keyed(entities).select("page_id", "key", F.try_parse_json("properties").alias("v"))
+    each = entities.sparkSession.sql("SELECT page_id, r.key AS key, x.key AS property, x.value AS v FROM {rows} r, LATERAL variant_explode(r.v) x WHERE x.key IS NOT NULL", rows=rows)
+    text, scalar = F.try_variant_get("v", "$", "string"), _scalar(F.col("v"))
+    told = each.select("page_id", "key", "property", F.when(F.schema_of_variant("v") == "STRING", text).otherwise(scalar).alias(name), scalar.alias(f"{name}s"))
+    return told.where(F.col(f"{name}s").isNotNull() & (F.trim(name) != "") & ~F.col(f"{name}s").isin("[]", "null"))
 
 
 def property_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(page_id, key, property, change_type, severity, before, after) of entities on both sides whose hash differs.
 
-    Blank texts and empty lists count as absent; properties is a JSON object. Where those of either side are
-    larger than MAX_PROPERTIES, neither side's are compared, so that nothing seems to be removed.
+    properties is a JSON object; what is none has no properties. Blank texts, null and empty lists count as absent. Values are
+    compared as ``_scalar`` makes them, so the order of keys, 1 and 1.0, and what a nested entity holds beside its type
+    and identity make no change. Where the properties of either side are larger than MAX_PROPERTIES, neither side's are
+    compared, so that nothing seems to be removed.
     """
     large = lambda name: F.coalesce(F.octet_length("properties") > MAX_PROPERTIES, F.lit(False)).alias(name)
     ka = _keyed(before).select("page_id", "key", F.col("entity_hash").alias("ha"), large("la"))
     kb = _keyed(after).select("page_id", "key", F.col("entity_hash").alias("hb"), large("lb"))
     changed = ka.join(kb, ["page_id", "key"]).where("ha <> hb and not la and not lb").select("page_id", "key")
-    a = _properties(before, "a").drop("ah").join(changed, ["page_id", "key"], "left_semi")
-    b = _properties(after, "b").drop("bh").join(changed, ["page_id", "key"], "left_semi")
-    both = a.join(b, ["page_id", "key", "property"], "full_outer").where("not (a <=> b)")
+    a = _properties(before, "a").join(changed, ["page_id", "key"], "left_semi")
+    b = _properties(after, "b").join(changed, ["page_id", "key"], "left_semi")
+    both = a.join(b, ["page_id", "key", "property"], "full_outer").where("not (as <=> bs)")
     change = F.when(F.col("b").isNull(), "property_removed").when(F.col("a").isNull(), "property_added").otherwise("property_value_changed")
     severity = F.when(F.col("b").isNull(), "high").when(F.col("a").isNull(), "info").otherwise("low")
     return both.select("page_id", "key", "property", change.alias("change_type"), severity.alias("severity"), F.col("a").alias("before"), F.col("b").alias("after"))

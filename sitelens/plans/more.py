@@ -343,6 +343,25 @@ def _(spark, d):
     return history.property_changes(*_entity_sides(spark, d)).select("page_id", "property", "change_type")
 
 
+@register(
+    "diff_2_compared_values",
+    """SELECT p_partkey AS page_id, property, b AS before, a AS after FROM (SELECT p_partkey, unnest(['number', 'offer', 'list']) AS property,
+  unnest([CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS VARCHAR) END, CASE WHEN p_partkey % 3 = 0 THEN '{"type":"Offer","identity":"' || p_brand || '"}' END, CASE WHEN p_partkey % 5 = 0 THEN '["x",' || p_size || ']' END]) AS b,
+  unnest([CAST(p_size + 1 AS VARCHAR), '{"type":"Offer","identity":null}', '[' || p_size || ',"x"]']) AS a FROM part) WHERE b IS NOT NULL""",
+)
+def _(spark, d):
+    """Entities whose properties are written in another order, numbers with a fraction and nested entities changed inside; some differ."""
+    k, brand = F.col("p_partkey"), F.to_json(F.struct(F.col("p_brand").alias("x")))
+    quoted = F.regexp_extract(brand, r"^\{\"x\":(.*)\}$", 1)
+    size = F.col("p_size").cast("string")
+    was = F.concat(F.lit('{"number": '), size, F.lit(', "offer": {"type": "Offer", "identity": '), quoted, F.lit(', "properties": {"price": 1}}, "list": ["x", '), size, F.lit("]}"))
+    number = F.when(k % 4 == 0, (F.col("p_size") + 1).cast("string")).otherwise(F.concat(size, F.lit(".0")))
+    listed = F.when(k % 5 == 0, F.concat(size, F.lit(', "x"'))).otherwise(F.concat(F.lit('"x", '), size, F.lit(".0")))
+    now = F.concat(F.lit('{"list": ['), listed, F.lit('], "offer": {"properties": {"price": 2}, "identity": '), F.when(k % 3 == 0, "null").otherwise(quoted), F.lit(', "type": "Offer"}, "number": '), number, F.lit("}"))
+    side = lambda text: f.table(spark, d, "part").select(k.alias("page_id"), F.lit(0).alias("pos"), F.lit("Product").alias("type"), k.cast("string").alias("identity"), F.sha2(text, 256).alias("entity_hash"), text.alias("properties"))
+    return history.property_changes(side(was), side(now)).select("page_id", "property", "before", "after")
+
+
 @register("diff_3_rich_changes", f"SELECT page_id, 'Product' AS profile, 'eligible' AS before, 'ineligible' AS after, 'high' AS severity FROM {_BOTH} WHERE dropped")
 def _(spark, d):
     return history.rich_changes(*_entity_sides(spark, d)).drop("key")

@@ -23,6 +23,25 @@ def test_entity_diff(spark):
     assert records.where("before is null").count() == 0
 
 
+def test_values_are_compared_as_scalars(spark):
+    row = lambda h, p: (1, 0, "Product", "i", h, p)
+    frame = lambda h, p: spark.createDataFrame([row(h, p)], "page_id long, pos int, type string, identity string, entity_hash string, properties string")
+    same = [
+        ('{"a": 1, "b": [1.0, "x"], "c": true}', '{"c": true, "b": [1, "x"], "a": 1.0}'),
+        ('{"o": {"type": "Offer", "identity": null, "properties": {"price": 1, "x": 2}}}', '{"o": {"properties": {"x": 3}, "identity": null, "type": "Offer"}}'),
+        ('{"o": [{"type": "T", "identity": "i", "properties": {"a": "b"}}, {"ref": "#r"}]}', '{"o": [{"identity": "i", "type": "T", "properties": {}}, {"ref": "#r"}]}'),
+        ('{"blank": " ", "none": [], "nil": null}', "{}"),
+        ("not json", "{}"),
+    ]
+    for one, two in same:
+        assert history.property_changes(frame("1", one), frame("2", two)).count() == 0, one
+    was = '{"n": 1, "l": ["a", "b"], "o": {"type": "Offer", "identity": "x"}, "r": {"ref": "#a"}, "t": "s"}'
+    now = '{"n": "1", "l": ["b", "a"], "o": {"type": "Offer", "identity": "y"}, "r": {"ref": "#b"}, "t": "s"}'
+    got = {r.property: (r.change_type, r.before, r.after) for r in history.property_changes(frame("1", was), frame("2", now)).collect()}
+    changed = "property_value_changed"
+    assert got == {"n": (changed, "1", "1"), "l": (changed, '["a","b"]', '["b","a"]'), "o": (changed, '{"type":"Offer","identity":"x"}', '{"type":"Offer","identity":"y"}'), "r": (changed, '{"ref":"#a"}', '{"ref":"#b"}')}
+
+
 def test_carry_children_and_issue_changes(spark):
     carried = spark.createDataFrame([(2, 1)], "crawl_id int, page_id int")
     kids = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "crawl_id int, page_id int, v string")
