@@ -23,6 +23,27 @@ def _(spark, d):
     return readers.csv_urls(spark, path, "url")
 
 
+@register(
+    "src_4_gate_files",
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE page_id % 40 = 0) AS bad FROM pages)
+SELECT 'good' AS file, NULL AS reason, n AS row_count, n - bad AS valid_count FROM n UNION ALL SELECT 'mostly_bad', 'too many invalid URLs', n, bad FROM n
+UNION ALL SELECT 'nul', 'binary content', NULL, NULL FROM n UNION ALL SELECT 'other_header', 'no column', NULL, NULL FROM n UNION ALL SELECT 'empty', 'empty file', NULL, NULL FROM n""",
+)
+def _(spark, d):
+    """Uploads made from the pages' URLs: quoted, with line breaks in a cell; the wrong way round; with NUL, another header, or nothing."""
+    path = store.scratch(spark, "uploads")
+    rows = f.table(spark, d, "pages").select("page_id", (F.col("page_id") % 40 == 0).alias("bad"), "url")
+    line = lambda bad: F.concat(F.lit('"a note,\nover ""two"" lines",'), F.when(bad, F.lit("not a url")).otherwise(F.concat(F.lit('"'), "url", F.lit('"'))))
+    files = {"good": ("note,url", line(F.col("bad"))), "mostly_bad": ("note, url ", line(~F.col("bad"))), "nul": ("note,url,\0", line(F.col("bad"))), "other_header": ("note,link", line(F.col("bad"))), "empty": ("", None)}
+    out = []
+    for name, (header, text) in files.items():
+        body = rows.select("page_id", text.alias("line")) if text is not None else rows.limit(0).select("page_id", F.lit("").alias("line"))
+        head = spark.range(1 if header else 0).select((F.col("id") - 1).alias("page_id"), F.lit(header).alias("line"))
+        head.unionByName(body).coalesce(1).sortWithinPartitions("page_id").select("line").write.text(f"{path}/{name}")
+        out.append(readers.gate_csv_file(spark, f"{path}/{name}").select(F.lit(name).alias("file"), "reason", "row_count", "valid_count"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 _REDONE = "(page_id % 5 = 0 OR page_id % 7 = 0)"
 
 

@@ -48,15 +48,43 @@ def first_invalid(frame: DataFrame, n: int = SAMPLES) -> DataFrame:
     return manual_urls(frame).where("not valid").select("url").orderBy("url").limit(n)
 
 
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    frame = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    return frame.toDF(*(c.lstrip("\ufeff").strip() for c in frame.columns))
+
+
 def csv_urls(spark: SparkSession, path: str, url_column: str) -> DataFrame:
-    """URLs of a CSV file with a header row; ragged rows and a byte order mark are borne."""
-    frame = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    plain = frame.toDF(*(c.lstrip("﻿").strip() for c in frame.columns))
+    """URLs of a CSV file with a header row; ragged rows, quoted line breaks and a byte order mark are borne."""
+    plain = _csv(spark, path)
     if url_column not in plain.columns:
         raise ValueError(f"column {url_column} not found; the file has {', '.join(plain.columns)}")
     return plain.select(F.trim(F.col(f"`{url_column}`")).alias("url")).where("url <> ''")
 
 
+#: Fixed value: bytes at the start of an upload that are searched for NUL.
+HEAD_BYTES = 8192
+
+
+def gate_csv_file(spark: SparkSession, path: str, url_column: str = "url") -> DataFrame:
+    """One row for an uploaded file: row_count, valid_count, invalid_samples, accepted, reason.
+
+    A file without bytes, with NUL among its first bytes or without the column is turned away by its head alone, before
+    any row is read as CSV: reason ``empty file``, ``binary content`` or ``no column``, with no counts. Its rows are judged by
+    ``validate_csv_urls``, where a missing or blank cell is an invalid URL. Blank lines are no rows.
+    """
+    size, head = F.sum("length").alias("bytes"), F.max(F.contains(F.substring("content", 1, HEAD_BYTES), F.lit(b"\0"))).alias("binary")
+    found = spark.read.format("binaryFile").load(path).where("length > 0").agg(size, head).first()
+    reason = "empty file" if not found.bytes else "binary content" if found.binary else None
+    if reason is None:
+        frame = _csv(spark, path)
+        if url_column in frame.columns:
+            return validate_csv_urls(frame.select(F.col(f"`{url_column}`").alias("url")))
+        reason = "no column"
+    none = F.lit(None).cast("long")
+    row = spark.range(1).select(none.alias("row_count"), none.alias("valid_count"), F.array().cast("array<string>").alias("invalid_samples"))
+    return row.withColumn("reason", F.lit(reason)).withColumn("accepted", F.lit(False))
+
+
 def validate_csv_urls(frame: DataFrame, url_column: str = "url") -> DataFrame:
     """One row: row_count, valid_count, invalid_samples (the first few in order), accepted, reason."""
     url = F.trim(F.col(url_column))

@@ -144,3 +144,17 @@ def test_a_write_that_breaks_off_is_never_seen(spark, tmp_path):
     assert _facts(spark, path) == before
     assert store.replace_snapshots(new, new, new, path, "retried") == 2
     assert _facts(spark, path) == {n: [(1, 1, "new"), (1, 2, "old")] for n in before}
+
+
+def test_gate_of_files(spark, tmp_path):
+    def gate(content, name="u.csv"):
+        (tmp_path / name).write_bytes(content)
+        r = readers.gate_csv_file(spark, str(tmp_path / name)).first()
+        return r.reason, r.row_count, r.valid_count, r.accepted
+
+    assert gate(b"") == ("empty file", None, None, False)
+    assert gate(b"url\n" + b"x" * 9000 + b"\0") == ("no valid URL", 1, 0, False)  # beyond the head
+    assert gate(b"url\nhttps://e.com/\0") == ("binary content", None, None, False)
+    assert gate(b"link\nhttps://e.com/") == ("no column", None, None, False)
+    assert gate(b"url\n") == ("no rows", 0, 0, False)
+    assert gate("\ufeffnote, url\n\n\"a\n\"\"b\"\"\", https://e.com/x ,ragged\r\nc\n".encode() + b"n,https://e.com\n" * 30) == (None, 32, 31, True)
