@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import CHECKS
 from ..functions import urls
@@ -24,6 +25,36 @@ def duplicate_groups(pages: DataFrame, field: str) -> DataFrame:
     return groups.where("page_count > 1").select(F.lit(field).alias("field"), "hash", F.md5("hash").alias("value_hash"), "sample", "page_ids", "page_count")
 
 
+def duplicate_members(pages: DataFrame, field: str) -> DataFrame:
+    """(field, hash, page_id, url, page_count): a row for each page of a value on more than one page, and no array of all of them."""
+    hash_col, text_col = FIELDS[field]
+    own = pages.where(F.col(hash_col).isNotNull() & (F.coalesce(F.col(text_col), F.lit("")) != "")).select("page_id", "url", F.col(hash_col).alias("hash"))
+    counts = own.groupBy("hash").agg(F.count("*").alias("page_count")).where("page_count > 1")
+    return own.join(counts, "hash").select(F.lit(field).alias("field"), "hash", "page_id", "url", "page_count")
+
+
+def group_heads(members: DataFrame, n: int = 20) -> DataFrame:
+    """(field, hash, page_count, urls): the first ``n`` URLs of each group of ``duplicate_members``, ties to the smaller page, and how many
+    there are. Every task sends on n rows a group at most, so a value on a million pages is as much work as any."""
+    first = Window.partitionBy("field", "hash").orderBy("url", "page_id")
+    some = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"])
+    return some.groupBy("field", "hash", "page_count").agg(listed.alias("urls"))
+
+
+def first_siblings(members: DataFrame, n: int = 20) -> DataFrame:
+    """(page_id, field, page_count, urls): the first ``n`` other pages in each of a page's groups, and how many pages the group has.
+
+    Each page meets one row of its group, n + 1 URLs long; pages of a group are never paired with each other.
+    """
+    first = Window.partitionBy("field", "hash").orderBy("url", "page_id")
+    some = members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n + 1)
+    heads = some.groupBy("field", "hash").agg(F.array_sort(F.collect_list(F.struct("rank", "page_id", "url"))).alias("head"))
+    met = members.select("field", "hash", "page_id", "page_count").join(heads, ["field", "hash"])
+    others = F.slice(F.filter("head", lambda x: x["page_id"] != F.col("page_id")), 1, n)
+    return met.select("page_id", "field", "page_count", F.transform(others, lambda x: x["url"]).alias("urls"))
+
+
 def duplicate_issues(pages: DataFrame, field: str, site: str = "1") -> DataFrame:
     """One finding for each page whose value another page has too."""
     check = f"duplicate.{field}"

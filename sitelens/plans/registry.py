@@ -412,6 +412,28 @@ def _(spark, d):
     return reports.duplicate_groups(crosspage.duplicate_groups(pages, "title"), pages).withColumn("urls", F.array_join("urls", "|"))
 
 
+_RANKED = f"(SELECT page_id, url, k, page_count, row_number() OVER (PARTITION BY k ORDER BY url, page_id) AS rank FROM {_GROUPED} WHERE page_count > 1)"
+
+
+def _members(spark, d) -> DataFrame:
+    return crosspage.duplicate_members(f.extracted(spark, d).select("page_id", "url", "title", "title_hash"), "title")
+
+
+@register("agg_1_duplicate_members", f"SELECT page_id, url, page_count FROM {_RANKED}")
+def _(spark, d):
+    return _members(spark, d).select("page_id", "url", "page_count")
+
+
+@register("lim_4_group_heads", f"SELECT page_count, string_agg(url, '|' ORDER BY rank) AS urls FROM {_RANKED} WHERE rank <= 3 GROUP BY k, page_count")
+def _(spark, d):
+    return crosspage.group_heads(_members(spark, d), 3).select("page_count", F.array_join("urls", "|").alias("urls"))
+
+
+@register("join_7_first_siblings", f"SELECT a.page_id, a.page_count, string_agg(b.url, '|' ORDER BY b.rank) AS urls FROM {_RANKED} a JOIN {_RANKED} b ON a.k = b.k AND a.page_id <> b.page_id AND b.rank <= 3 + CASE WHEN a.rank <= 3 THEN 1 ELSE 0 END GROUP BY ALL")
+def _(spark, d):
+    return crosspage.first_siblings(_members(spark, d), 3).select("page_id", "page_count", F.array_join("urls", "|").alias("urls"))
+
+
 _FEED = f"SELECT c.crawl_id, c.status, c.created_at, w.website_name, p.project_name, lower(c.group_id) AS group_name, a.score FROM {f.CRAWLS_SQL} c JOIN {f.WEBSITES_SQL} w USING (website_id) JOIN {f.PROJECTS_SQL} p USING (project_id) LEFT JOIN {f.AGGREGATES_SQL} a ON a.crawl_id = c.crawl_id AND a.crawl_id % 4 <> 0 WHERE p.deleted_at IS NULL"
 
 

@@ -102,3 +102,16 @@ def test_relations_between_pages(spark):
     assert [tuple(r) for r in crosspage.hreflang_without_return(pages).collect()] == [("a", "c")]
     assert {r.url for r in crosspage.listed_but_noindex(pages.select("url"), pages).collect()} == {"b", "c"}
     assert [tuple(r) for r in crosspage.canonical_to_error(pages).collect()] == [("b", "gone", 404)]
+
+
+def test_a_title_on_very_many_pages_gives_short_rows(spark):
+    from sitelens.operators import crosspage
+
+    pages = spark.range(60000).selectExpr("id AS page_id", "concat('u', lpad(CAST(id AS STRING), 6, '0')) AS url", "CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('t', id div 6) END AS title", "CASE WHEN id % 3 > 0 THEN 'h' ELSE concat('t', id div 6) END AS title_hash").repartition(8)
+    members = crosspage.duplicate_members(pages, "title")
+    assert members.count() == 60000
+    heads = crosspage.group_heads(members, 4)
+    assert [(r.page_count, r.urls) for r in heads.where("hash = 'h'").collect()] == [(40000, ["u000001", "u000002", "u000004", "u000005"])]
+    assert heads.where("size(urls) > 4").count() == 0 and heads.count() == 10001
+    near = {r.page_id: r.urls for r in crosspage.first_siblings(members, 4).where("page_id in (2, 59999, 0)").collect()}
+    assert near == {0: ["u000003"], 2: ["u000001", "u000004", "u000005", "u000007"], 59999: ["u000001", "u000002", "u000004", "u000005"]}
