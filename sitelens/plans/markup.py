@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import artifacts, checks, crosspage, history, scoring, structured
+from ..functions import urls
+from ..operators import artifacts, checks, crosspage, history, reports, scoring, structured
 from ..sources import readers, store
 from ..streaming import progress
 from . import frames as f
@@ -382,3 +383,50 @@ def _(spark, d):
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
     progress.trend_sink(stream, f"{path}/out", f"{path}/state").awaitTermination()
     return store.facts(spark, f"{path}/out", "trend").select("website_id", "day", "crawl_id")
+
+
+@register("issue_changes_both_ways", "SELECT DISTINCT 'c' || l_orderkey AS fingerprint, CASE WHEN l_orderkey % 2 = 0 THEN 'introduced' ELSE 'resolved' END AS state FROM lineitem WHERE (l_orderkey % 2 = 0) = (l_orderkey % 3 = 0)")
+def _(spark, d):
+    rows = f.table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("fingerprint"))
+    return history.issue_changes(rows.where("l_orderkey % 3 <> 0"), rows.where("l_orderkey % 2 = 0"))
+
+
+@register("agg_14_pages_without_entities", "SELECT count(*) FILTER (WHERE p_partkey % 3 <> 1) AS n FROM part")
+def _(spark, d):
+    """Entities in JSON-LD are counted by page; the other notations are left out, since every page has them."""
+    having = structured.entities(_items(spark, d)).where("format = 'json-ld'").agg(F.count_distinct("page_id").alias("having"))
+    both = f.table(spark, d, "part").agg(F.count("*").alias("scored")).join(having)  # one row each
+    return both.select(reports.pages_without_schema(F.col("scored"), F.col("having")).alias("n"))
+
+
+@register("url_7_same_origin_as_the_page_before", "SELECT a.page_id, lower(regexp_extract(a.url, '^(https?://[^/?#]+)', 1)) = lower(regexp_extract(b.url, '^(https?://[^/?#]+)', 1)) AS same FROM pages a JOIN pages b ON b.page_id = a.page_id - 1")
+def _(spark, d):
+    pages_ = f.table(spark, d, "pages").select("page_id", "url")
+    before = pages_.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("other"))
+    return pages_.join(before, "page_id").select("page_id", urls.same_origin("url", "other").alias("same"))
+
+
+_FACTS = ("snapshots", "issues", "entities", "changes", "link_checks", "hints", "progress")
+
+
+@register("snk_7_remove_group_everywhere", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = {k} AND o_orderpriority <> '2-HIGH'" for k, name in enumerate(_FACTS, 1)) + " UNION ALL SELECT 'crawls', count(*) FROM orders WHERE o_orderpriority <> '2-HIGH' UNION ALL SELECT 'aggregates', count(*) FROM orders WHERE o_orderpriority <> '2-HIGH' UNION ALL SELECT 'pages', count(*) FROM part")
+def _(spark, d):
+    """Facts of every kind, a line of an order each; the dimension of pages has no crawl and stays."""
+    lines = f.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("crawl_id"), "l_linenumber")
+    tables = {name: lines.where(F.col("l_linenumber") == k) for k, name in enumerate(_FACTS, 1)}
+    left = store.remove_group(tables | {"crawls": f.crawls(spark, d), "aggregates": f.aggregates(spark, d), "pages": f.table(spark, d, "part")}, "2-HIGH")
+    out = None
+    for name, frame in left.items():
+        row = frame.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("sd_13_singletons", "SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'schema.page.conflicting' ELSE 'schema.page.duplicate' END AS check_id, 'WebSite' AS entity_type, 2 AS n FROM part WHERE p_partkey % 3 < 2")
+def _(spark, d):
+    """Two sites on a page that differ, two that are the same, and one."""
+    k = F.col("p_partkey")
+    site = lambda name: F.concat(F.lit('<script type="application/ld+json">{"@type": "WebSite", "name": "'), name, F.lit('"}</script>'))
+    html = F.concat(site(F.lit("a")), F.when(k % 3 == 0, site(F.lit("b"))).when(k % 3 == 1, site(F.lit("a"))).otherwise(F.lit("")))
+    found = structured.extract(f.table(spark, d, "part").select(k.alias("page_id"), html.alias("html")))
+    return structured.page_checks(structured.entities(found)).withColumn("n", F.col("n").cast("int"))
