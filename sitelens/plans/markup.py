@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import urls
-from ..operators import artifacts, checks, crosspage, history, reports, scoring, structured
+from ..operators import artifacts, checks, crosspage, history, reports, scoring, structured, tables
 from ..sources import readers, store
 from ..streaming import progress
 from . import frames as f
@@ -430,3 +430,9 @@ def _(spark, d):
     html = F.concat(site(F.lit("a")), F.when(k % 3 == 0, site(F.lit("b"))).when(k % 3 == 1, site(F.lit("a"))).otherwise(F.lit("")))
     found = structured.extract(f.table(spark, d, "part").select(k.alias("page_id"), html.alias("html")))
     return structured.page_checks(structured.entities(found)).withColumn("n", F.col("n").cast("int"))
+
+
+@register("udf_5_links_in_sql", f"SELECT page_id, pos, url, text, internal FROM {f.LINKS_SQL}")
+def _(spark, d):
+    tables.register_all(spark)
+    return spark.sql("SELECT p.page_id, l.pos, l.href AS url, l.text, l.internal FROM {pages} p, LATERAL extract_links(p.html, p.url) l", pages=f.table(spark, d, "pages"))

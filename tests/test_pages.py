@@ -229,3 +229,15 @@ def test_lists_and_empty_values(spark):
     body = ld({"@type": "Thing", "name": ["a", None, ["b"]], "url": [], "image": [{"@value": 1.0}], "subjectOf": {}})
     row = structured.extract(page(spark, body=body).select("page_id", "html")).first()
     assert json.loads(row.properties) == {"name": ["a", "b"], "url": [], "image": 1.0} and row.identity == "a"
+
+
+def test_links_by_a_table_function(spark):
+    from sitelens.operators import tables
+
+    body = '<p><a href="/x" rel="NoFollow me"> Go <b>there</b>\xa0</a><a>none</a><a href="mailto:x">m</a><a href="https://else.org/y"></a><a href="sub?b=2&a=1#f">s</a></p>'
+    tables.register_all(spark)
+    frame = page(spark, body=body)
+    got = spark.sql("SELECT l.* FROM {p} p, LATERAL extract_links(p.html, p.final_url) l", p=frame).collect()
+    want = artifacts.extract(frame).first().links
+    assert [(r.href, r.text, r.rel, r.internal, r.nofollow) for r in got] == [(x.href, x.text, x.rel, x.internal, x.nofollow) for x in want] and len(got) == 3
+    assert spark.sql("SELECT * FROM extract_links(CAST(NULL AS STRING), 'https://e.com')").collect() == []
