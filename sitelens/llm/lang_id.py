@@ -20,6 +20,8 @@ from .common import materialise, wide
 PROFILE = 400
 #: Labelled rows of each language that a profile is fitted on, at most.
 MAX_LABELLED = 2000
+#: Texts whose n-grams are held and counted at once; a worker keeps the memory that it once had.
+TOGETHER = 64
 #: Share of the median score of a language's labelled rows that a text of it reaches at least.
 LEAST = 0.5
 
@@ -62,12 +64,14 @@ def ranked(codes: np.ndarray, most: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by.setdefault(lang, []).append(grams(text))
-        for lang, parts in by.items():
-            kinds, counts = counted(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+        for at in range(0, len(batch), TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            by: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
+                by.setdefault(lang, []).append(grams(text.as_py()))
+            for lang, own in by.items():
+                kinds, counts = counted(np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
 def _sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_labelled: int) -> tuple[DataFrame | None, list[str]]:
