@@ -70,12 +70,12 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     return docs.select("sitemap_url", F.col("body").cast("binary")).mapInArrow(_parse, "sitemap_url string, kind string, pos int, loc string, lastmod string, error string")
 
 
-def expand_tree(docs: DataFrame, root: str, max_urls: int = MAX_URLS, max_sitemaps: int = MAX_SITEMAPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def expand_tree(docs: DataFrame, root: str, max_urls: int | None = MAX_URLS, max_sitemaps: int = MAX_SITEMAPS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries (loc, lastmod, sitemap_url), errors (url, message) and one row of stats below ``root``.
 
     The tree is followed by joins, a level at a time; a document's place is the least of the ways to it (positions
     from the root), which is depth first in document order, so ways around in circles never count. The first
-    ``max_sitemaps`` documents by place are read. Entries are distinct by loc in the order found, ``max_urls`` of them at most.
+    ``max_sitemaps`` documents by place are read. Entries are distinct by loc in the order found, ``max_urls`` of them at most; with None, all.
     """
     spark = docs.sparkSession
     parsed = _kept(parse_sitemaps(docs), "sitemap")
@@ -94,12 +94,14 @@ def expand_tree(docs: DataFrame, root: str, max_urls: int = MAX_URLS, max_sitema
     met = parsed.join(F.broadcast(order), "sitemap_url")
     found = met.where("kind = 'urlset' and loc is not null").groupBy("loc").agg(F.min(F.struct("visit", "pos", "lastmod", "sitemap_url")).alias("f"))
     found = found.select("loc", "f.lastmod", "f.sitemap_url", "f.visit", "f.pos")
-    entries = found.orderBy("visit", "pos").limit(max_urls).select("loc", "lastmod", "sitemap_url")
+    ordered = found.orderBy("visit", "pos")
+    entries = (ordered if max_urls is None else ordered.limit(max_urls)).select("loc", "lastmod", "sitemap_url")
     errors = met.where("error is not null").select(F.col("sitemap_url").alias("url"), F.col("error").alias("message"))
     missing = order.join(parsed.select("sitemap_url").distinct(), "sitemap_url", "left_anti")
     errors = errors.unionByName(missing.select(F.col("sitemap_url").alias("url"), F.lit("not found").alias("message")))
     counts = found.agg(F.count("*").alias("n")).join(reached.agg(F.count("*").alias("sitemaps")))
-    stats = counts.select(F.least("n", F.lit(max_urls)).alias("total"), F.least("sitemaps", F.lit(max_sitemaps)).cast("int").alias("sitemap_count"), ((F.col("sitemaps") > max_sitemaps) | (F.col("n") > max_urls)).alias("truncated"))
+    most = F.col("n") if max_urls is None else F.lit(max_urls)
+    stats = counts.select(F.least("n", most).alias("total"), F.least("sitemaps", F.lit(max_sitemaps)).cast("int").alias("sitemap_count"), ((F.col("sitemaps") > max_sitemaps) | (F.col("n") > most)).alias("truncated"))
     return entries, errors, stats
 
 
@@ -109,8 +111,8 @@ def _kept(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def preview(docs: DataFrame, root: str, sample: int = 8) -> DataFrame:
+def preview(docs: DataFrame, root: str, sample: int = 8, max_urls: int | None = MAX_URLS) -> DataFrame:
     """One row: sample of normalised URLs, total, sitemap_count, truncated, error_count."""
-    entries, errors, stats = expand_tree(docs, root)
+    entries, errors, stats = expand_tree(docs, root, max_urls)
     some = entries.limit(sample).select(urls.normalize("loc").alias("url")).agg(F.sort_array(F.collect_list("url")).alias("sample"))
     return stats.join(some).join(errors.agg(F.count("*").alias("error_count")))
