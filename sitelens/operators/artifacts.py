@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +43,11 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores, F.xxhash64("page_id"))
 
 
-def elements_of(pages: DataFrame) -> DataFrame:
+def elements_of(pages: DataFrame, terminated: bool = False) -> DataFrame:
     """``pages`` with els and texts in place of html: the flat elements and the pieces of text of each page."""
     kept = [c for c in pages.columns if c != "html"]
     ddl = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    read = spread(pages.select(*kept, "html")).mapInArrow(elements.batches, f"{ddl}, page {elements.PAGE}")
+    read = spread(pages.select(*kept, "html")).mapInArrow(partial(elements.batches, unescape=elements.terminated) if terminated else elements.batches, f"{ddl}, page {elements.PAGE}")
     return read.select(*kept, "page.els", "page.texts")
 
 
@@ -147,13 +148,14 @@ def _link(e: Column) -> Column:
     )
 
 
-def extract(pages: DataFrame, lazy: Sequence[str] = LAZY) -> DataFrame:
+def extract(pages: DataFrame, lazy: Sequence[str] = LAZY, terminated: bool = False) -> DataFrame:
     """A row of artifacts for each page of ``sources.read_pages``; html itself is not carried along.
 
-    ``lazy`` names further attributes that hold the addresses of images. Null and empty pages have no elements.
+    ``lazy`` names further attributes that hold the addresses of images. Null and empty pages have no elements. As browsers do, texts
+    are read with ``&amp`` for ``&`` even without its semicolon; ``terminated`` asks for the semicolon.
     """
     c, rel = F.col, lambda name: (lambda e: (e["tag"] == "link") & F.array_contains(_rel(e), name))
-    read = elements_of(pages.select(*CARRIED, "headers", "html")).withColumn("addresses", F.transform("els", _address(lazy)))
+    read = elements_of(pages.select(*CARRIED, "headers", "html"), terminated).withColumn("addresses", F.transform("els", _address(lazy)))
     read = read.withColumn("resolved", urls.resolve_all("addresses", "final_url"))
     names = ["tag", "up", "nth", "alike", "first_text", "n_texts", "in_head", "attrs", "source"]
     whole = lambda e, i: F.struct(*(e[n].alias(n) for n in names), F.get("addresses", i).alias("address"), F.get("resolved", i).alias("url"))
