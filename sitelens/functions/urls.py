@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import parse_qsl, quote, quote_plus, urljoin, urlsplit
 
 import pyarrow as pa
@@ -138,11 +139,19 @@ def resolve(raw: Column | str, base: Column | str) -> Column:
     return F.arrow_udf(run, "string")(_text(raw), _text(base))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: inside functions of arrays, Spark computes an expression again each time it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def resolve_all(raws: Column | str, base: Column | str) -> Column:
     """The absolute URL of each of an array's, null where there is none."""
 
     def run(lists: pa.Array, bases: pa.Array) -> pa.Array:
-        return pa.array([None if raw is None else [resolve_one(r, b) for r in raw] for raw, b in zip(lists.to_pylist(), bases.to_pylist())], pa.list_(pa.string()))
+        # a few pages at a time: addresses are many, and as objects several times as large
+        some = lambda at: zip(lists.slice(at, 64).to_pylist(), bases.slice(at, 64).to_pylist())
+        parts = [pa.array([None if raw is None else [resolve_one(r, b) for r in raw] for raw, b in some(at)], pa.list_(pa.string())) for at in range(0, len(lists), 64)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     return F.arrow_udf(run, "array<string>")(_text(raws), _text(base))
 
@@ -152,17 +161,20 @@ def url_hash(url: Column | str) -> Column:
 
 
 def registrable_domain(host: Column | str) -> Column:
-    host = F.regexp_replace(F.lower(F.trim(_text(host))), r"\.$", "")
-    labels = F.split(host, r"\.")
-    size = F.size(labels)
-    whole = (size <= 2) | host.rlike(_IPV4) | host.startswith("[") | host.contains(":")
-    third = F.element_at(labels, F.when(size >= 2, -2).otherwise(-1)).isin(SECOND_LEVEL)
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(size - n + 1, F.lit(1)), F.lit(n)), ".")
-    return F.when(whole, host).when(third, last(3)).otherwise(last(2))
+    def of(parts: Column) -> Column:
+        host, labels = parts["host"], parts["labels"]
+        size = F.size(labels)
+        whole = (size <= 2) | host.rlike(_IPV4) | host.startswith("[") | host.contains(":")
+        third = F.element_at(labels, F.when(size >= 2, -2).otherwise(-1)).isin(SECOND_LEVEL)
+        last = lambda n: F.array_join(F.slice(labels, F.greatest(size - n + 1, F.lit(1)), F.lit(n)), ".")
+        return F.when(whole, host).when(third, last(3)).otherwise(last(2))
+
+    plain = F.regexp_replace(F.lower(F.trim(_text(host))), r"\.$", "")
+    return bound(plain, lambda h: bound(F.struct(h.alias("host"), F.split(h, r"\.").alias("labels")), of))
 
 
 def host(url: Column | str) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(_text(url), r"(?i)^\s*https?://([^/?#:@]+@)?([^/?#:]+)", 2), F.lit("")))
+    return bound(F.lower(F.regexp_extract(_text(url), r"(?i)^\s*https?://([^/?#:@]+@)?([^/?#:]+)", 2)), lambda h: F.when(h != "", h))
 
 
 def origin(url: Column | str) -> Column:

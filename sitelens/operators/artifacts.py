@@ -58,16 +58,23 @@ def text_of(e: Column) -> Column:
 
 def selector(e: Column) -> Column:
     """A CSS path of at most six steps from an element with an id, or the outermost; ``steps`` is a column (step, named)."""
+
+    def to_named(way: Column) -> Column:
+        named = F.array_position(F.transform(way, lambda s: s["named"]), True).cast("int")
+        return F.slice(way, 1, F.when(named > 0, named).otherwise(elements.STEPS))
+
     way = F.filter(F.transform(e["up"], lambda i: F.get("steps", i)), lambda s: s["step"].isNotNull())
-    named = F.array_position(F.transform(way, lambda s: s["named"]), True).cast("int")
-    return F.array_join(F.reverse(F.transform(F.when(named > 0, F.slice(way, 1, named)).otherwise(way), lambda s: s["step"])), " > ")
+    return F.array_join(F.reverse(F.transform(urls.bound(way, to_named), lambda s: s["step"])), " > ")
 
 
 def _step(e: Column) -> Column:
-    own = F.nullif(attribute(e, "id"), F.lit(""))
     place = F.concat(e["tag"], F.lit(":nth-of-type("), e["nth"].cast("string"), F.lit(")"))
-    step = F.when(own.isNotNull(), F.concat(F.lit("#"), own)).when(e["alike"] > 1, place).otherwise(e["tag"])
-    return F.struct(F.when(e["tag"] != "html", step).alias("step"), own.isNotNull().alias("named"))
+
+    def of(own: Column) -> Column:
+        step = F.when(own != "", F.concat(F.lit("#"), own)).when(e["alike"] > 1, place).otherwise(e["tag"])
+        return F.struct(F.when(e["tag"] != "html", step).alias("step"), (own != "").alias("named"))
+
+    return urls.bound(F.coalesce(attribute(e, "id"), F.lit("")), of)
 
 
 def snippet(e: Column) -> Column:

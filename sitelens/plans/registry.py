@@ -358,12 +358,14 @@ _FIRST = f"(SELECT page_id, url, min_by(text, pos) AS text FROM {f.LINKS_SQL} GR
 
 @register("join_3_broken_links", f"SELECT page_id, 'links.internal.broken' AS check_id, 'critical' AS severity, l.url AS target, c.status, l.text AS anchor, sha256(concat(CAST(page_id AS VARCHAR), ':', l.url, ':broken')) AS fingerprint FROM {_FIRST} l JOIN {f.LINK_CHECKS_SQL} c USING (url) WHERE NOT ok")
 def _(spark, d):
-    return crosspage.broken_links(f.extracted(spark, d), f.link_checks(spark, d)).select("page_id", "check_id", "severity", "target", "status", "anchor", "fingerprint")
+    pages = store.kept(f.extracted(spark, d).select("page_id", "links"), "links")
+    return crosspage.broken_links(pages, f.link_checks(spark, d, pages)).select("page_id", "check_id", "severity", "target", "status", "anchor", "fingerprint")
 
 
 @register("join_5_redirect_chains", f"SELECT page_id, l.url AS target, c.redirect_hops AS hops, l.text AS anchor FROM {_FIRST} l JOIN {f.LINK_CHECKS_SQL} c USING (url) WHERE redirect_hops > 2")
 def _(spark, d):
-    return crosspage.redirect_chains(f.extracted(spark, d), f.link_checks(spark, d)).select("page_id", "target", "hops", "anchor")
+    pages = store.kept(f.extracted(spark, d).select("page_id", "links"), "links")
+    return crosspage.redirect_chains(pages, f.link_checks(spark, d, pages)).select("page_id", "target", "hops", "anchor")
 
 
 @register("join_14_classify_links", "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 405 ELSE 500 END AS INT) AS status, doc_id % 5 < 2 AS ok, doc_id % 2 = 0 AS is_internal, doc_id % 5 = 3 AS retry_with_get FROM documents")

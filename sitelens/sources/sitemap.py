@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from .store import scratch
+from .store import kept
 
 MAX_URLS, MAX_SITEMAPS, MAX_BYTES = 50_000, 50, 50 << 20
 _ENTITY = re.compile(r"&(?:amp|lt|gt|quot|apos|#x[0-9a-fA-F]+|#\d+);")
@@ -78,13 +78,13 @@ def expand_tree(docs: DataFrame, root: str, max_urls: int | None = MAX_URLS, max
     ``max_sitemaps`` documents by place are read. Entries are distinct by loc in the order found, ``max_urls`` of them at most; with None, all.
     """
     spark = docs.sparkSession
-    parsed = _kept(parse_sitemaps(docs), "sitemap")
+    parsed = kept(parse_sitemaps(docs), "sitemap")
     listed = parsed.where(f"kind = 'index' and loc is not null and pos < {MAX_URLS}").select(F.col("sitemap_url").alias("url"), F.col("loc"), "pos")
     reached = spark.createDataFrame([(root, [])], "url string, way array<int>")
     frontier = reached
     while True:
         below = frontier.join(listed, "url").select(F.col("loc").alias("url"), F.concat("way", F.array("pos")).alias("way"))
-        merged = _kept(reached.unionByName(below).groupBy("url").agg(F.min("way").alias("way")), "reached")
+        merged = kept(reached.unionByName(below).groupBy("url").agg(F.min("way").alias("way")), "reached")
         frontier = merged.join(reached, ["url", "way"], "left_anti")
         if frontier.isEmpty():
             break
@@ -105,12 +105,6 @@ def expand_tree(docs: DataFrame, root: str, max_urls: int | None = MAX_URLS, max
     return entries, errors, stats
 
 
-def _kept(frame: DataFrame, name: str) -> DataFrame:
-    path = scratch(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def preview(docs: DataFrame, root: str, sample: int = 8, max_urls: int | None = MAX_URLS) -> DataFrame:
     """One row: sample of normalised URLs, total, sitemap_count, truncated, error_count."""
     entries, errors, stats = expand_tree(docs, root, max_urls)

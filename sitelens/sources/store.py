@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to a new scratch folder and read from there: for what several steps read and is dear to make again."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def replace_snapshots(snapshots: DataFrame, issues: DataFrame, entities: DataFrame, path: str, write: str | None = None) -> int:
     """Replace the (crawl_id, page_id) of ``snapshots``, with their issues and entities, in one step; read by ``facts``.
 
