@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..catalog import CHECKS
 from ..functions import urls
 from ..sources.readers import first_per
+from ..sources.store import kept
 
 #: field: columns of its hash and its text
 FIELDS = {"title": ("title_hash", "title"), "description": ("description_hash", "meta_description"), "h1": ("h1_hash", "h1_text")}
@@ -19,6 +20,11 @@ def _hashed(pages: DataFrame, field: str) -> DataFrame:
     return pages.select("page_id", F.col(hash_col).alias("hash"), F.col(text_col).alias("value")).where("hash is not null and coalesce(value, '') <> ''")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Narrow rows of pages that are counted and then met again, written in between, so that no page is read twice."""
+    return kept(rows, "values")
+
+
 def duplicate_groups(pages: DataFrame, field: str) -> DataFrame:
     """(field, hash, value_hash, sample, page_ids, page_count) of values on more than one page."""
     groups = _hashed(pages, field).groupBy("hash").agg(F.min("value").alias("sample"), F.sort_array(F.collect_list("page_id")).alias("page_ids"), F.count("*").alias("page_count"))
@@ -28,7 +34,7 @@ def duplicate_groups(pages: DataFrame, field: str) -> DataFrame:
 def duplicate_members(pages: DataFrame, field: str) -> DataFrame:
     """(field, hash, page_id, url, page_count): a row for each page of a value on more than one page, and no array of all of them."""
     hash_col, text_col = FIELDS[field]
-    own = pages.where(F.col(hash_col).isNotNull() & (F.coalesce(F.col(text_col), F.lit("")) != "")).select("page_id", "url", F.col(hash_col).alias("hash"))
+    own = _once(pages.where(F.col(hash_col).isNotNull() & (F.coalesce(F.col(text_col), F.lit("")) != "")).select("page_id", "url", F.col(hash_col).alias("hash")))
     counts = own.groupBy("hash").agg(F.count("*").alias("page_count")).where("page_count > 1")
     return own.join(counts, "hash").select(F.lit(field).alias("field"), "hash", "page_id", "url", "page_count")
 
@@ -58,7 +64,7 @@ def first_siblings(members: DataFrame, n: int = 20) -> DataFrame:
 def duplicate_issues(pages: DataFrame, field: str, site: str = "1") -> DataFrame:
     """One finding for each page whose value another page has too."""
     check = f"duplicate.{field}"
-    own = _hashed(pages, field)
+    own = _once(_hashed(pages, field))
     counts = own.groupBy("hash").agg(F.count("*").alias("duplicate_count")).where("duplicate_count > 1")
     print_ = F.sha2(F.concat_ws(":", F.lit(site), F.col("page_id").cast("string"), F.lit(check)), 256)
     return own.join(counts, "hash").select("page_id", F.lit(check).alias("check_id"), F.lit(CHECKS[check]["severity"]).alias("severity"), "value", "duplicate_count", F.lit(field).alias("field"), print_.alias("fingerprint"))
