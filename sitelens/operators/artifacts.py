@@ -35,12 +35,15 @@ def _is(*tags: str) -> Callable[[Column], Column]:
     return lambda e: e["tag"].isin(*tags)
 
 
+#: Tasks a core that pages are dealt to, so that none is long and a slow one holds up little.
+TASKS_A_CORE = 4
+
+
 def spread(pages: DataFrame) -> DataFrame:
-    """``pages`` over all cores, where the input has fewer partitions than those: a small file is one partition."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming or pages.rdd.getNumPartitions() >= cores:
+    """``pages`` dealt over all cores by page: partitions of a file may be many, and yet all its pages in one, where it is one row group."""
+    if pages.isStreaming:
         return pages
-    return pages.repartition(cores, F.xxhash64("page_id"))
+    return pages.repartition(TASKS_A_CORE * pages.sparkSession.sparkContext.defaultParallelism, F.xxhash64("page_id"))
 
 
 def elements_of(pages: DataFrame, terminated: bool = False) -> DataFrame:
@@ -56,14 +59,14 @@ def text_of(e: Column) -> Column:
     return trimmed(F.array_join(F.transform(F.slice("texts", e["first_text"] + 1, e["n_texts"]), lambda t: t["text"]), ""))
 
 
-def selector(e: Column) -> Column:
-    """A CSS path of at most six steps from an element with an id, or the outermost; ``steps`` is a column (step, named)."""
+def selector(e: Column, steps: Column) -> Column:
+    """A CSS path of at most six steps from an element with an id, or the outermost; ``steps`` are (step, named) of all elements."""
 
     def to_named(way: Column) -> Column:
         named = F.array_position(F.transform(way, lambda s: s["named"]), True).cast("int")
         return F.slice(way, 1, F.when(named > 0, named).otherwise(elements.STEPS))
 
-    way = F.filter(F.transform(e["up"], lambda i: F.get("steps", i)), lambda s: s["step"].isNotNull())
+    way = F.filter(F.transform(e["up"], lambda i: F.get(steps, i)), lambda s: s["step"].isNotNull())
     return F.array_join(F.reverse(F.transform(urls.bound(way, to_named), lambda s: s["step"])), " > ")
 
 
@@ -81,8 +84,14 @@ def snippet(e: Column) -> Column:
     return F.when(F.length(e["source"]) > SNIPPET, F.concat(F.substring(e["source"], 1, SNIPPET), F.lit("…"))).otherwise(e["source"])
 
 
-def _where(e: Column) -> list[Column]:
-    return [selector(e).alias("selector"), snippet(e).alias("snippet")]
+def _where(e: Column, steps: Column) -> list[Column]:
+    return [selector(e, steps).alias("selector"), snippet(e).alias("snippet")]
+
+
+def _placed(items: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` each item and the page's steps and domain, which are computed once a page: a column that only a function of an
+    array names is put into it by the optimizer, and computed again for each item."""
+    return urls.bound(F.struct("steps", "domain"), lambda page: F.transform(items, lambda e: of(e, page)))
 
 
 def _candidate(srcset: Column) -> Column:
@@ -140,18 +149,18 @@ def _charset() -> Column:
     return F.coalesce(*(F.nullif(F.lower(trimmed(c)), F.lit("")) for c in (own, given)))
 
 
-def _image(e: Column, lazy: Sequence[str]) -> Column:
+def _image(e: Column, page: Column, lazy: Sequence[str]) -> Column:
     given = _filled(attribute(e, "src"))
     plain = [attribute(e, n).alias(n) for n in ("alt", "width", "height", "loading")]
     src = F.coalesce(e["url"], e["address"], F.lit("")).alias("src")
-    return F.struct(src, *plain, (given.isNull() & _later(e, lazy).isNotNull()).alias("lazy"), *_where(e))
+    return F.struct(src, *plain, (given.isNull() & _later(e, lazy).isNotNull()).alias("lazy"), *_where(e, page["steps"]))
 
 
-def _link(e: Column) -> Column:
-    internal = F.coalesce(urls.registrable_domain(urls.host(e["url"])) == F.col("domain"), F.lit(False))
+def _link(e: Column, page: Column) -> Column:
+    internal = F.coalesce(urls.registrable_domain(urls.host(e["url"])) == page["domain"], F.lit(False))
     return F.struct(
         e["url"].alias("href"), text_of(e).alias("text"), attribute(e, "rel").alias("rel"), internal.alias("internal"), F.array_contains(_rel(e), "nofollow").alias("nofollow"),
-        (F.lower(F.coalesce(attribute(e, "target"), F.lit(""))) == "_blank").alias("target_blank"), *_where(e),
+        (F.lower(F.coalesce(attribute(e, "target"), F.lit(""))) == "_blank").alias("target_blank"), *_where(e, page["steps"]),
     )
 
 
@@ -165,7 +174,7 @@ def extract(pages: DataFrame, lazy: Sequence[str] = LAZY, terminated: bool = Fal
     read = elements_of(pages.select(*CARRIED, "headers", "html"), terminated).withColumn("addresses", F.transform("els", _address(lazy)))
     read = read.withColumn("resolved", urls.resolve_all("addresses", "final_url"))
     names = ["tag", "up", "nth", "alike", "first_text", "n_texts", "in_head", "attrs", "source"]
-    whole = lambda e, i: F.struct(*(e[n].alias(n) for n in names), F.get("addresses", i).alias("address"), F.get("resolved", i).alias("url"))
+    whole = lambda e, i: F.struct(*(e[n].alias(n) for n in names), _address(lazy)(e).alias("address"), F.get("resolved", i).alias("url"))
     read = read.select(*CARRIED, "headers", "texts", F.transform("els", whole).alias("els"), F.transform("els", _step).alias("steps"), urls.registrable_domain(urls.host("final_url")).alias("domain"))
     read = read.withColumn("https", F.coalesce(F.lower("final_url").startswith("https:"), F.lit(False)))
     of = lambda *tags: F.filter("els", _is(*tags))
@@ -173,7 +182,7 @@ def extract(pages: DataFrame, lazy: Sequence[str] = LAZY, terminated: bool = Fal
     loads = F.filter("els", lambda e: _is("img", *LOADED)(e) | rel("stylesheet")(e))
     read = read.withColumns({
         "metas": of("meta"),
-        "headings": F.transform(of("h1", "h2", "h3", "h4", "h5", "h6"), lambda e: F.struct(level(e), text_of(e).alias("text"), *_where(e))),
+        "headings": _placed(of("h1", "h2", "h3", "h4", "h5", "h6"), lambda e, page: F.struct(level(e), text_of(e).alias("text"), *_where(e, page["steps"]))),
         "titles": of("title"),
         "bodies": of("body"),
     })
@@ -202,8 +211,8 @@ def extract(pages: DataFrame, lazy: Sequence[str] = LAZY, terminated: bool = Fal
         _tags("twitter:", "name", "property").alias("twitter_tags"),
         F.transform(other, lambda e: F.struct(trimmed(attribute(e, "hreflang")).alias("lang"), F.coalesce(e["url"], trimmed(e["address"])).alias("href"))).alias("hreflang"),
         "headings",
-        F.transform(of("img"), lambda e: _image(e, lazy)).alias("images"),
-        F.transform(links, _link).alias("links"),
+        _placed(of("img"), lambda e, page: _image(e, page, lazy)).alias("images"),
+        _placed(links, _link).alias("links"),
         words.alias("word_count"),
         "https",
         F.when(c("https"), F.array_distinct(insecure)).otherwise(F.array().cast("array<string>")).alias("mixed_content_urls"),

@@ -1,7 +1,13 @@
 """What shows only on larger tables, made small."""
 
+import re
+import time
+
+from pyspark.sql import functions as F
 from sitelens.functions import elements
+from sitelens.operators import artifacts
 from sitelens.plans import markup, more, registry  # noqa: F401
+from sitelens.sources import readers
 from tests import oracle
 
 CUT = "SELECT k AS page_id, 'https://a.example.com/en/' || k AS url, '<html lang=\"en\"><head><meta charset=\"utf-8\"><title>Same &quot;cut&quot; &amp</title></head><body><h1>Same &quot;cut&quot; &amp</h1></body></html>' AS html FROM (SELECT unnest(range(1, 31)) AS k)"
@@ -34,3 +40,27 @@ def test_pages_are_read_once_a_query(spark, sf):
     for name, n in most.items():  # 0: what was read stands written
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") <= n, name
+
+
+def test_pages_in_one_of_many_partitions_are_dealt_over_all_cores(spark, sf):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+        assert pages.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism  # all but one of them empty: the file is one row group
+        assert artifacts.spread(pages).select(F.spark_partition_id()).distinct().count() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_page_of_many_links_is_no_square_of_work(spark):
+    html = "<html><body><main>" + "".join(f"<p><a href='/p/{k}'>{k}</a></p>" for k in range(4000)) + "</main></body></html>"
+    pages = readers.as_pages(spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string"))
+    began = time.time()
+    links = artifacts.extract(pages).select("links").first().links
+    assert (len(links), links[3].selector) == (4000, "body > main > p:nth-of-type(4) > a")
+    assert time.time() - began < 30
+
+
+def test_links_are_made_once(spark, sf):
+    plan = registry.QUERIES["ext_9_links"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Filter \(+size\(", plan)  # Spark's own, of pages with links
