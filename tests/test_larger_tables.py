@@ -64,3 +64,11 @@ def test_a_page_of_many_links_is_no_square_of_work(spark):
 def test_links_are_made_once(spark, sf):
     plan = registry.QUERIES["ext_9_links"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Filter \(+size\(", plan)  # Spark's own, of pages with links
+
+
+def test_the_source_of_a_heading_is_cut_without_the_whole_page():
+    page = elements.Page("<h1>a" + " \n" * 900 + "b</h1><p>" + "word " * 1_000_000 + "</p><a>open " + "x " * 400)
+    began = time.time()
+    heading, link = page.sources().values()
+    assert time.time() - began < 0.2
+    assert (heading, link) == ("<h1>a b</h1>", ("<a>open " + "x " * 400)[: elements.SOURCE].strip())
