@@ -175,17 +175,14 @@ def extract(pages: DataFrame, lazy: Sequence[str] = LAZY, terminated: bool = Fal
     read = read.withColumn("resolved", urls.resolve_all("addresses", "final_url"))
     names = ["tag", "up", "nth", "alike", "first_text", "n_texts", "in_head", "attrs", "source"]
     whole = lambda e, i: F.struct(*(e[n].alias(n) for n in names), _address(lazy)(e).alias("address"), F.get("resolved", i).alias("url"))
-    read = read.select(*CARRIED, "headers", "texts", F.transform("els", whole).alias("els"), F.transform("els", _step).alias("steps"), urls.registrable_domain(urls.host("final_url")).alias("domain"))
-    read = read.withColumn("https", F.coalesce(F.lower("final_url").startswith("https:"), F.lit(False)))
     of = lambda *tags: F.filter("els", _is(*tags))
+    # what needs no address is taken from the elements before theirs are resolved, so a query of titles alone resolves none
+    plain = [of("meta").alias("metas"), of("h1", "h2", "h3", "h4", "h5", "h6").alias("heads"), of("title").alias("titles"), of("body").alias("bodies")]
+    read = read.select(*CARRIED, "headers", "texts", *plain, F.transform("els", whole).alias("els"), F.transform("els", _step).alias("steps"), urls.registrable_domain(urls.host("final_url")).alias("domain"))
+    read = read.withColumn("https", F.coalesce(F.lower("final_url").startswith("https:"), F.lit(False)))
     level = lambda e: F.substring(e["tag"], 2, 1).cast("int").alias("level")
     loads = F.filter("els", lambda e: _is("img", *LOADED)(e) | rel("stylesheet")(e))
-    read = read.withColumns({
-        "metas": of("meta"),
-        "headings": _placed(of("h1", "h2", "h3", "h4", "h5", "h6"), lambda e, page: F.struct(level(e), text_of(e).alias("text"), *_where(e, page["steps"]))),
-        "titles": of("title"),
-        "bodies": of("body"),
-    })
+    read = read.withColumn("headings", _placed(F.col("heads"), lambda e, page: F.struct(level(e), text_of(e).alias("text"), *_where(e, page["steps"]))))
     read = read.withColumns({
         "title": text_of(F.coalesce(_first(c("titles"), lambda e: e["in_head"]), F.get("titles", 0))),
         "meta_description": _named("description"),

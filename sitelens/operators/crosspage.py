@@ -15,9 +15,9 @@ from ..sources.store import kept
 FIELDS = {"title": ("title_hash", "title"), "description": ("description_hash", "meta_description"), "h1": ("h1_hash", "h1_text")}
 
 
-def _hashed(pages: DataFrame, field: str) -> DataFrame:
+def _hashed(pages: DataFrame, field: str, *more: str) -> DataFrame:
     hash_col, text_col = FIELDS[field]
-    return pages.select("page_id", F.col(hash_col).alias("hash"), F.col(text_col).alias("value")).where("hash is not null and coalesce(value, '') <> ''")
+    return pages.select("page_id", *more, F.col(hash_col).alias("hash"), F.col(text_col).alias("value")).where("hash is not null and coalesce(value, '') <> ''")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -61,6 +61,41 @@ def first_siblings(members: DataFrame, n: int = 20) -> DataFrame:
     return met.select("page_id", "field", "page_count", F.transform(others, lambda x: x["url"]).alias("urls"))
 
 
+#: Pages of a group that one row of work lists the others for, and tasks a core that such rows are dealt to: a result grows with the square
+#: of a group, so a task is to hold few of its pages.
+SHARE, LISTS_A_CORE = 64, 16
+
+
+def listing() -> list[Column]:
+    """Aggregates of a group's pages (page_id, url): own, each id once, and listed, their (url, page_id) sorted."""
+    return [F.collect_set("page_id").alias("own"), F.sort_array(F.collect_list(F.when(F.col("page_id").isNotNull(), F.struct("url", "page_id")))).alias("listed")]
+
+
+def siblings(groups: DataFrame) -> DataFrame:
+    """(page_id, field, sample, page_count, urls): the URLs of all other pages of a page's groups, sorted; groups: field, sample, page_count and ``listing``.
+
+    Pages are never paired: a group's list goes once to every ``SHARE`` of its pages, which are dealt over all cores. The longest lists come
+    first in a task, since a Parquet writer looks at its memory after as many rows as the lengths so far let it expect: long ones after short
+    ones pile up.
+    """
+    shares = F.transform(F.sequence(F.lit(1), F.size("own"), F.lit(SHARE)), lambda k: F.slice("own", k, SHARE))
+    pieces = groups.where(F.size("own") > 1).withColumn("ids", F.size("own")).withColumn("own", F.explode(shares))
+    tasks = LISTS_A_CORE * groups.sparkSession.sparkContext.defaultParallelism
+    dealt = pieces.repartition(tasks, F.get("own", F.lit(0))).sortWithinPartitions(F.desc("page_count"))
+    each = dealt.select(F.explode("own").alias("page_id"), "field", "sample", "page_count", "ids", "listed")
+    others = F.transform(F.filter("listed", lambda x: (x["page_id"] != F.col("page_id")) & x["url"].isNotNull()), lambda x: x["url"])
+    # a page that is there several times meets the others as often
+    times = F.size(F.filter("listed", lambda x: x["page_id"] == F.col("page_id")))
+    met = F.when(F.size("listed") == F.col("ids"), others).otherwise(F.flatten(F.transform(others, lambda u: F.array_repeat(u, times))))
+    return each.select("page_id", "field", "sample", "page_count", met.alias("urls"))
+
+
+def duplicate_siblings(pages: DataFrame, field: str) -> DataFrame:
+    """``siblings`` of all pages that share a value, read in one pass over ``pages``."""
+    groups = _hashed(pages, field, "url").groupBy("hash").agg(F.min("value").alias("sample"), F.count("*").alias("page_count"), *listing())
+    return siblings(groups.withColumn("field", F.lit(field)))
+
+
 def duplicate_issues(pages: DataFrame, field: str, site: str = "1") -> DataFrame:
     """One finding for each page whose value another page has too."""
     check = f"duplicate.{field}"

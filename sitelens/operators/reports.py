@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .. import catalog
 from ..sources.readers import first_per
+from . import crosspage
 
 ACTIVE = ["queued", "running", "paused", "finalizing"]
 MAX_PAGE = 200
@@ -120,11 +121,10 @@ def page_issues(facts: DataFrame, crawl, page) -> DataFrame:
 
 def duplicate_siblings(groups: DataFrame, pages: DataFrame, page_id=None) -> DataFrame:
     """(page_id, field, sample, page_count, urls): the other pages in each of a page's groups, of all pages if none is named."""
-    members = groups.select("field", "hash", "sample", "page_count", F.explode("page_ids").alias("page_id"))
-    named = members.join(pages.select("page_id", "url"), "page_id")
-    own = members if page_id is None else members.where(F.col("page_id") == page_id)
-    others = own.select("page_id", "field", "hash", "sample", "page_count").join(named.select("field", "hash", F.col("page_id").alias("other"), "url"), ["field", "hash"]).where("other <> page_id")
-    return others.groupBy("page_id", "field", "hash", "sample", "page_count").agg(F.sort_array(F.collect_list("url")).alias("urls")).drop("hash")
+    own = groups if page_id is None else groups.where(F.array_contains("page_ids", page_id))
+    members = own.select("field", "hash", "sample", "page_count", F.explode(F.array_distinct("page_ids")).alias("page_id")).join(pages.select("page_id", "url"), "page_id")
+    out = crosspage.siblings(members.groupBy("field", "hash", "sample", "page_count").agg(*crosspage.listing()))
+    return out if page_id is None else out.where(F.col("page_id") == page_id)
 
 
 def duplicate_groups(groups: DataFrame, pages: DataFrame, field: str | None = None, limit: int = 200) -> DataFrame:

@@ -404,8 +404,8 @@ _GROUPED = f"(SELECT page_id, url, lower(title) AS k, min(title) OVER (PARTITION
 
 @register("join_7_duplicate_siblings", f"SELECT a.page_id, 'title' AS field, a.sample, a.page_count, string_agg(b.url, '|' ORDER BY b.url) AS urls FROM {_GROUPED} a JOIN {_GROUPED} b ON a.k = b.k AND a.page_id <> b.page_id GROUP BY ALL")
 def _(spark, d):
-    pages = f.extracted(spark, d).select("page_id", "url", "title", "title_hash")
-    return reports.duplicate_siblings(crosspage.duplicate_groups(pages, "title"), pages).withColumn("urls", F.array_join("urls", "|"))
+    out = crosspage.duplicate_siblings(f.extracted(spark, d), "title")
+    return out.withColumn("urls", F.when(F.size("urls") > 0, F.array_join("urls", "|")))
 
 
 @register("lim_4_duplicate_groups", f"SELECT 'title' AS field, sample, page_count, string_agg(url, '|' ORDER BY url) AS urls FROM {_GROUPED} WHERE page_count > 1 GROUP BY k, sample, page_count ORDER BY page_count DESC, md5(k) LIMIT 200")

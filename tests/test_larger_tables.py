@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sitelens.functions import elements, structured_data
-from sitelens.operators import artifacts, structured
+from sitelens.operators import artifacts, crosspage, structured
 from sitelens.plans import markup, more, registry  # noqa: F401
 from sitelens.sources import readers
 from tests import oracle
@@ -16,6 +16,9 @@ from tests import oracle
 CUT = "SELECT k AS page_id, 'https://a.example.com/en/' || k AS url, '<html lang=\"en\"><head><meta charset=\"utf-8\"><title>Same &quot;cut&quot; &amp</title></head><body><h1>Same &quot;cut&quot; &amp</h1></body></html>' AS html FROM (SELECT unnest(range(1, 31)) AS k)"
 MANY = "SELECT k AS page_id, 'https://a.example.com/en/' || k AS url, '' AS html FROM (SELECT unnest(range(50100)) AS k)"
 
+#: A title on many pages, one of which is there twice, one without a URL, one without an id; and titles on pages of one id, or without other URLs.
+ALIKE = "SELECT CASE WHEN k = 300 THEN 7 WHEN k < 400 THEN k END AS page_id, CASE WHEN k NOT IN (9, 403) THEN 'https://a.example.com/en/' || k % 350 END AS url, '<html><head><title>' || CASE WHEN k < 401 THEN 'Alike' ELSE 'Few' END || '</title></head></html>' AS html FROM (SELECT unnest(range(1, 401)) AS k) UNION ALL SELECT 500 + k * (k // 4), CASE WHEN k <> 5 THEN 'u' || k END, '<title>' || CASE WHEN k < 2 THEN 'One id' ELSE 'No other URL' END || '</title>' FROM (VALUES (0), (1), (4), (5)) v(k)"
+
 
 def differs(spark, folder, name, **tables):
     import duckdb
@@ -99,3 +102,17 @@ def test_an_entity_is_hashed_once_and_not_at_each_level(monkeypatch):
 def test_values_are_dealt_by_no_text_of_theirs(spark, sf):
     plan = registry.QUERIES["sd_6_validate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\((bare|property|known)#\d+", plan)
+
+
+def test_siblings_of_a_large_group(spark, tmp_path):
+    assert differs(spark, tmp_path, "join_7_duplicate_siblings", pages=ALIKE) is None
+    plan = registry.QUERIES["join_7_duplicate_siblings"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1  # no pairs, and pages are read once
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('u', id) AS url", "CASE WHEN id < 2000 THEN 'hot' ELSE concat('t', id div 2) END AS title", "CASE WHEN id < 2000 THEN 'h' ELSE concat('t', id div 2) END AS title_hash")
+    tasks = {}
+    for r in crosspage.duplicate_siblings(pages, "title").select("page_count", F.size("urls").alias("n"), F.spark_partition_id().alias("task")).collect():
+        assert r.n == r.page_count - 1
+        tasks.setdefault(r.task, []).append(r.n)
+    assert sum(map(len, tasks.values())) == 3000
+    assert max(n.count(1999) for n in tasks.values()) <= 500  # dealt over many tasks
+    assert all(n == sorted(n, reverse=True) for n in tasks.values())  # the longest lists first
